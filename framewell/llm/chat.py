@@ -54,15 +54,22 @@ def paths(messages: DataFrame, tree: str = "tree_id", node: str = "message_id",
     m = messages.groupBy(F.col(tree).alias("t"), F.col(node).alias("n")).agg(F.min(F.struct(F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))).alias("x")).select("t", "n", "x.p", "x.s")
     ids = m.select("t", F.col("n").alias("p"), F.lit(True).alias("known"))
     m = m.join(ids, ["t", "p"], "left").select("t", "n", F.when(F.col("known"), F.col("p")).alias("up"), F.array("n").alias("seg"), "s")
-    state, open_before = written(m, "paths"), None
+    state, done, open_before = written(m, "paths"), [], None
     while True:
         left = state.where(F.col("up").isNotNull()).count()
         if not left or left == open_before:  # done, or only cycles are left
             break
         open_before = left
+        # trees whose paths all reach a root leave the loop
+        trees = state.where(F.col("up").isNotNull()).select("t").distinct()
+        done.append(written(state.join(trees, "t", "left_anti"), "paths"))
+        state = state.join(trees, "t", "left_semi")
         step = state.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("seg").alias("seg2"), F.col("s").alias("s2"))
-        joined = state.join(step, ["t", "up"], "left")
-        state = written(joined.select("t", "n", F.col("up2").alias("up"), F.concat(F.coalesce("seg2", F.array().cast(state.schema["seg"].dataType)), "seg").alias("seg"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s")), "paths")
+        longer = state.where(F.col("up").isNotNull()).join(step, ["t", "up"])
+        longer = longer.select("t", "n", F.col("up2").alias("up"), F.concat("seg2", "seg").alias("seg"), (F.col("s") + F.col("s2")).alias("s"))
+        state = written(state.where(F.col("up").isNull()).select("t", "n", "up", "seg", "s").unionByName(longer), "paths")
+    for part in done:
+        state = state.unionByName(part)
     rooted = state.where(F.col("up").isNull())
     inner = rooted.select("t", F.explode(F.slice("seg", 1, F.size("seg") - 1)).alias("n")).distinct()
     leaves = rooted.join(inner, ["t", "n"], "left_anti").withColumn("branch_score", F.col("s") / F.size("seg"))

@@ -107,3 +107,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+_STEP = 0x9E3779B97F4A7C15
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(M^i, M^-i) modulo 2^64 for i below n at least."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        n = 1 << max(16, (n - 1).bit_length())
+        out = []
+        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _POWERS[:] = [tuple(out)]
+    return _POWERS[0]
+
+
+class SliceHash:
+    """64-bit hashes of any slices of an array of bytes or of hashes, from one running sum."""
+
+    def __init__(self, units: np.ndarray):
+        n = len(units)
+        self.up, self.down = _powers(n + 1)
+        self.sum = np.zeros(n + 1, np.uint64)
+        np.cumsum((_BYTE[units] if units.dtype == np.uint8 else units) * self.up[:n], out=self.sum[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sum[end] - self.sum[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+
+def word_slices(b: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each text) of maximal runs without ``space``, per text."""
+    n = len(b)
+    head = np.zeros(n + 1, bool)
+    head[off] = True
+    solid = ~space
+    before = np.zeros(n + 1, bool)  # a word's byte stands at i-1 in the same text
+    before[1:] = solid
+    before[head] = False
+    start = np.flatnonzero(solid & ~before[:n])
+    after = np.zeros(n + 1, bool)
+    after[:n] = solid
+    after[head] = False
+    end = np.flatnonzero(solid & ~after[1:]) + 1
+    return start, end, np.searchsorted(start, off, "left")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of each node of ``edges`` (a, b): root is the least node of its component.
+
+    Alternating stars: every node sends its larger neighbours, then its smaller ones, to the
+    least node it knows, until the edges are stars. Minima are aggregated before the shuffle
+    and joined back, so no node's neighbours meet in one task; each round is a written table.
+    """
+    star = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen = None
+    while True:
+        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        star = written(small, "edges")
+        now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+    return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
