@@ -55,6 +55,8 @@ def equal_runs(words: np.ndarray, start: np.ndarray, length: int) -> tuple[np.nd
 
 def _runs(doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, from, to) covered by windows at the places, adjacent ones joined."""
+    if not len(doc):
+        return doc, at, at
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     new = np.ones(len(doc), bool)
