@@ -80,7 +80,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 
 _ESC = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '#', chr(92) || 'h'), '<', chr(92) || 'l')"
 _SQL_OP6 = """
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM t WHERE len(w) >= 35),
 x AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM g),
 r AS (SELECT s FROM x GROUP BY s HAVING count(*) > 1),
@@ -103,7 +103,7 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 _SQL_OP7 = """
-WITH RECURSIVE t AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), x -> x <> '') AS w FROM documents),
+WITH RECURSIVE t AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
