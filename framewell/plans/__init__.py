@@ -1 +1 @@
-
+"""Requests, plans, caches and bundles."""

@@ -1 +1 @@
-
+"""Sources of pixels, frames and arrays."""

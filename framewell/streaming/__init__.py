@@ -1 +1 @@
-
+"""Streams of frames."""
