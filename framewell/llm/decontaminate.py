@@ -2,8 +2,9 @@
 
 Test items are indexed by word. Every training passage (overlapping stretches of a
 document, long enough to hold any item whole) is a query; WAND with block maxima retrieves
-all items whose score reaches ``RETRIEVE`` of the item's score against itself, skipping
-items and blocks whose bound is below it. A retrieved pair is contaminated if the passage
+all items whose score reaches ``RETRIEVE`` of the item's score against itself. The maxima of
+blocks of items are summed for all passages of a batch at once; WAND then walks the postings
+of the blocks that are left. A retrieved pair is contaminated if the passage
 holds enough of the item's question and of its answer, as word n-grams.
 
 An item's answer is what follows its last "Answer:" (or "A:") line mark, else its last
@@ -29,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SliceHash, mixed, text_parts, word_slices
+from .common import SliceHash, mixed, runs_to_index, text_parts, word_slices
 
 SHARD_BYTES = 8 << 20
 #: Share of an item's own score that a passage must reach, and of question and answer n-grams that it must hold.
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.5, 0.5
 GRAM = 5
-#: BM25's saturation and length parameters; postings in a block.
-K1, B, BLOCK = 1.2, 0.75, 16
+#: BM25's saturation and length parameters; items in a block.
+K1, B, BLOCK = 1.2, 0.75, 4
+#: Bound that a passage's commonest words may leave unlooked-up; (passage, block) sums held at once.
+REST, HELD = 0.25, 4 << 20
 _ANSWER_MARK = re.compile(r"(?im)^\s*a(?:nswer)?\s*:")
 _SENTENCE_END = re.compile(r"[.!?]+[\s\"')\]]*")
 
@@ -89,6 +92,8 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str], df: dict[int, int], n_items: int, mean_length: float):
         keep = [(i, t, w) for i, t, w in zip(ids, texts, _hashed(texts), strict=True) if len(w)]
+        # items that share their commonest words stand together, which makes block maxima tight
+        keep.sort(key=lambda k: sorted(set(k[2].view(np.int64).tolist()), key=lambda t: (-df.get(t, 1), t))[:4])
         self.ids = [k[0] for k in keep]
         words = [k[2] for k in keep]
         parts = [question_and_answer(k[1]) for k in keep]
@@ -106,12 +111,24 @@ class Index:
                 lists[t].append((i, g))
         self.items = [[p[0] for p in x] for x in lists]
         self.gains = [[p[1] for p in x] for x in lists]
-        self.block_max = [[max(g[k : k + BLOCK]) for k in range(0, len(g), BLOCK)] for g in self.gains]
+        self.block_max = [{} for _ in self.items]
+        for x, g, m in zip(self.items, self.gains, self.block_max, strict=True):
+            for i, v in zip(x, g, strict=True):
+                m[i // BLOCK] = max(m.get(i // BLOCK, 0.0), v)
         self.bound = np.array([max(g) for g in self.gains] or [0.0])
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All (item, score) with a score of 1 or more for a query of distinct terms: block-max WAND."""
-        bound, items, gains, blocks = self.bound, self.items, self.gains, self.block_max
+        self.spread = np.array([len(m) for m in self.block_max] or [0])
+        self.block_start = np.cumsum(self.spread) - self.spread
+        self.block_at = np.array([k for m in self.block_max for k in m], np.int64)
+        self.block_bound = np.array([v for m in self.block_max for v in m.values()], float)
+        self.blocks = -(-len(keep) // BLOCK)
+
+    def search(self, terms: list[int], allowed: list[int] | None = None) -> list[tuple[int, float]]:
+        """All (item, score) with a score of 1 or more for a query of distinct terms: block-max WAND.
+
+        ``allowed``: the blocks whose bound reaches 1, if that is known; others are skipped.
+        """
+        bound, items, gains, maxima = self.bound, self.items, self.gains, self.block_max
+        allowed = range(self.blocks) if allowed is None else allowed
         at = dict.fromkeys(terms, 0)
         cursors = sorted((items[t][0], t) for t in terms)
         out, slack = [], 1 - 1e-9
@@ -127,39 +144,34 @@ class Index:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            # bounds of the blocks that would hold the pivot
-            total, until = 0.0, None
-            for _, t in cursors[: pivot + 1]:
-                k = bisect_left(items[t], item, at[t]) // BLOCK
-                if k < len(blocks[t]):
-                    total += blocks[t][k]
-                    end = items[t][min((k + 1) * BLOCK, len(items[t])) - 1]
-                    until = end if until is None else min(until, end)
-            if total < slack:
-                # no item up to the nearest block end, nor before the next cursor, can reach 1
-                to = (until if until is not None else item) + 1
-                if pivot + 1 < len(cursors):
-                    to = min(to, cursors[pivot + 1][0])
-                to = max(to, item + 1)
+            block = item // BLOCK
+            k = bisect_left(allowed, block)
+            if k == len(allowed):
+                break
+            if allowed[k] != block:
+                to, moving = allowed[k] * BLOCK, cursors
+            elif sum(maxima[t].get(block, 0.0) for _, t in cursors) < slack:
+                to, moving = (block + 1) * BLOCK, cursors
             else:
                 score = 0.0
                 for _, t in cursors[: pivot + 1]:
-                    k = bisect_left(items[t], item, at[t])
-                    if k < len(items[t]) and items[t][k] == item:
-                        score += gains[t][k]
+                    j = bisect_left(items[t], item, at[t])
+                    if j < len(items[t]) and items[t][j] == item:
+                        score += gains[t][j]
                 if score >= slack:
                     out.append((item, score))
-                to = item + 1
+                to, moving = item + 1, cursors[: pivot + 1]
+            rest = cursors[len(moving) :]
             moved = []
-            for _, t in cursors[: pivot + 1]:
-                at[t] = k = bisect_left(items[t], to, at[t])
-                if k < len(items[t]):
-                    moved.append((items[t][k], t))
-            cursors = sorted(moved + cursors[pivot + 1 :])
+            for _, t in moving:
+                at[t] = j = bisect_left(items[t], to, at[t])
+                if j < len(items[t]):
+                    moved.append((items[t][j], t))
+            cursors = sorted(moved + rest)
         return out
 
     def passages(self, words: np.ndarray, off: np.ndarray):
-        """(text, from, to) of the passages whose summed bounds reach 1; the first step of WAND, for all at once."""
+        """(term of each word, and text, from, to of the passages whose summed bounds reach 1)."""
         k = np.minimum(np.searchsorted(self.terms, words), max(len(self.terms) - 1, 0))
         known = self.terms[k] == words if len(self.terms) else np.zeros(len(words), bool)
         k = np.where(known, k, -1)
@@ -172,23 +184,47 @@ class Index:
         start = off[text] + nth * step
         end = np.minimum(start + size, off[text + 1])
         some = np.flatnonzero(sums[end] - sums[start] >= 1 - 1e-6)
-        return k, text[some].tolist(), start[some].tolist(), end[some].tolist()
+        return k, text[some], start[some], end[some]
+
+    def blocks_of(self, k: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(passage, its distinct terms, blocks) where the block's maxima sum to 1: bounds for all passages at once.
+
+        A passage's commonest words, with bounds of ``REST`` in all, count by their bound alone.
+        """
+        size = max(1, len(self.terms))
+        for lo in range(0, len(start), step := max(1, HELD // max(self.blocks, 1))):
+            s, e = start[lo : lo + step], end[lo : lo + step]
+            p = np.repeat(np.arange(len(s)), e - s)
+            t = k[runs_to_index(s, e - s)]
+            p, t = np.divmod(np.unique(p[t >= 0] * size + t[t >= 0]), size)
+            order = np.lexsort((t, -self.spread[t], p))
+            p, t = p[order], t[order]
+            first = np.searchsorted(p, np.arange(len(s) + 1))
+            run = np.cumsum(self.bound[t])
+            before = np.concatenate([[0.0], run])[first[:-1]]
+            common = run - before[p] <= REST
+            rest = np.bincount(p[common], self.bound[t[common]], len(s))
+            q, u = p[~common], t[~common]
+            at = runs_to_index(self.block_start[u], self.spread[u])
+            sums = np.bincount(np.repeat(q, self.spread[u]) * self.blocks + self.block_at[at], self.block_bound[at], len(s) * self.blocks).reshape(len(s), self.blocks)
+            hit = sums + rest[:, None] >= 1 - 1e-6
+            for i in np.flatnonzero(hit.any(axis=1)).tolist():
+                yield lo + i, t[first[i] : first[i + 1]].tolist(), np.flatnonzero(hit[i]).tolist()
 
     def matches(self, words: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, item) -> (score, question share, answer share) of the contaminated pairs."""
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        if not len(self.terms):
+            return out
         k, texts, starts, ends = self.passages(words, off)
-        for text, s, e in zip(texts, starts, ends, strict=True):
-            terms = np.unique(k[s:e])
-            terms = terms[terms >= 0]
-            if self.bound[terms].sum() < 1 - 1e-6:
-                continue
-            got = self.search(terms.tolist())
+        for i, terms, blocks in self.blocks_of(k, starts, ends):
+            got = self.search(terms, blocks)
             if not got:
                 continue
-            own = grams(words[s:e])
+            text, passage = int(texts[i]), words[starts[i] : ends[i]]
+            own = grams(passage)
             for item, score in got:
-                q, a = (self._share(x, words[s:e], own) for x in (self.question[item], self.answer[item]))
+                q, a = (self._share(x, passage, own) for x in (self.question[item], self.answer[item]))
                 if q >= QUESTION and a >= ANSWER:
                     old = out.get((text, item))
                     if old is None or score * RETRIEVE > old[0]:
