@@ -57,14 +57,19 @@ def signatures(text: Column) -> Column:
     # a part is " anchor words\t content words "; only the first has no tab
     content = lambda p: F.trim(F.substring_index(p, "\t", -1))
 
-    def spot(p, i):
-        chain = F.substring_index(F.concat_ws(" ", content(p), content(F.coalesce(F.get(parts_of, i + 1), F.lit("")))), " ", CHAIN)
-        anchor = F.when(F.instr(p, "\t") > 0, F.substring_index(p, "\t", 1)).otherwise(F.lit(""))
-        return F.when(F.trim(chain) != "", F.xxhash64(anchor, F.trim(chain)).bitwiseAND(0xFFFFFFFF))
-
-    parts_of = parts
-    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, spot))))
-    return F.when((F.size(found) == 0) & (F.length(text) > 0), F.array(F.xxhash64(text).bitwiseAND(0xFFFFFFFF))).otherwise(found)
+    def spots(all_parts):
+        """``all_parts`` is bound by an outer transform, so the patterns run once for a text."""
+
+        def spot(p, i):
+            chain = F.trim(F.substring_index(F.concat_ws(" ", content(p), content(F.coalesce(F.get(all_parts, i + 1), F.lit("")))), " ", CHAIN))
+            anchor = F.when(F.instr(p, "\t") > 0, F.substring_index(p, "\t", 1)).otherwise(F.lit(""))
+            return F.when(chain != "", F.xxhash64(anchor, chain).bitwiseAND(0xFFFFFFFF))
+
+        return F.transform(all_parts, spot)
+
+    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.array(parts), spots)[0])))
+    whole = F.array(F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
+    return F.transform(F.array(found), lambda f: F.when((F.size(f) == 0) & (F.length(text) > 0), whole).otherwise(f))[0]
 
 
 def fingerprint(sigs: Column) -> Column:
