@@ -2,11 +2,12 @@
 
 Windows can repeat only where their seeds do (``windows``), so suffixes are taken at the
 repeated seeds. Stretches of equal content are one; of the others, whose windows may be
-equal in part, the suffixes at the seed are range-partitioned by their leading bytes
-(Spark samples the splitters), each bucket sorts its windows by multikey quicksort, eight
-bytes at a time, and marks all but the earliest of each run of equal windows. Seeds at a
-bucket's edges may go on in its neighbours; their windows are compared across boundaries
-by a second grouping on whole windows.
+equal in part, the suffixes at the seed (for some very common seeds, the reversed prefixes)
+are range-partitioned by their leading bytes (Spark samples the splitters), each bucket
+sorts its windows by multikey quicksort, eight bytes at a time, and marks all but the
+earliest of each run of equal windows. A window can have an equal in another bucket only
+within the bytes that its suffix shares with its bucket's first or last; such windows are
+compared across boundaries by a second grouping on whole windows.
 
 Defined results: null and empty texts and texts under ``length`` bytes lose nothing; rows
 that share a doc_id are taken for the same document, of which neither is earlier; rows
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import SliceHash, partitions, runs_to_index, words8, written
 from .windows import repeated
 
-#: Stretches of a bucket.
-BUCKET = 20_000
+#: Stretches of a bucket; different stretches of a seed above which its better side is looked for.
+BUCKET, MANY = 20_000, 300
 
 
 def bytes_as_units(b: np.ndarray, off: np.ndarray):
@@ -93,20 +94,30 @@ def _bucket(batches, length: int, seed: int):
     later = (w_doc[keep] != w_doc[keep][least]) | (w_at[keep] != w_at[keep][least])
     d, f, z = _runs(w_doc[keep[later]], w_at[keep[later]], length)
     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(f.astype(np.int32)), pa.array(z.astype(np.int32)), pa.nulls(len(d), pa.binary())], names)
-    # seeds that may go on in a neighbouring bucket
-    raw = b.tobytes()
-    own = [raw[o + p : o + p + seed] for o, p in zip(off.tolist(), place.tolist(), strict=True)]
-    low, high = min(own), max(own)
-    edge = np.array([x == low or x == high for x in own])
+    # windows that may have an equal in a neighbouring bucket: those within what their key shares with the bucket's first or last
+    raw, keys = b.tobytes(), t["key"].to_pylist()
+    shared = np.array([max(_common(k, keys[0]), _common(k, keys[-1])) for k in keys]) - seed
+    left = t["leftwards"].to_numpy(zero_copy_only=False).astype(bool)
+    before = place[owner] - (start - off[owner])  # the window's bytes left of its seed
+    beyond = np.where(left[owner], before, length - seed - before)
     gone = np.zeros(len(start), bool)
     gone[keep[later]] = True
-    out = np.flatnonzero(edge[owner] & ~gone)
+    out = np.flatnonzero((beyond <= shared[owner]) & ~gone)
     for i in range(0, len(out), 20_000):
         z = out[i : i + 20_000]
         content = [raw[s : s + length] for s in start[z].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(w_doc[z], pa.int64()), pa.array(w_at[z].astype(np.int32)), pa.array((w_at[z] + length).astype(np.int32)), pa.array(content, pa.binary())], names)
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common start."""
+    if a == b:
+        return len(a)
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n if not x else n - (x.bit_length() + 7) // 8
+
+
 def covered(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
     """(doc_id, from, to): byte spans of ``docs`` covered by windows that start earlier too."""
     spark = docs.sparkSession
@@ -117,14 +128,19 @@ def covered(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
     span = [F.col("doc_id"), F.col("at").alias("from"), (F.col("at") + F.col("windows") + (length - 1)).alias("to")]
     whole = found.join(several, ["seed", "content"]).where("doc_id <> d0 or at <> a0").select(*span)
     # stretches that share a seed but not all content
-    mixed = first.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("seed")
-    some = first.join(mixed, "seed").select("x.*")
+    mixed = first.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    some = first.join(mixed, "seed").select("seed", "k", "x.*")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
-    some = some.join(texts, "doc_id").select("doc_id", "at", "windows", "place", F.substring(F.col("b"), F.col("at") + 1, F.col("windows") + (length - 1)).alias("stretch"))
+    some = some.join(texts, "doc_id").select("seed", "k", "doc_id", "at", "windows", "place", F.substring(F.col("b"), F.col("at") + 1, F.col("windows") + (length - 1)).alias("stretch"))
     some = written(some, "suffixes")
     n = max(partitions(spark), -(-some.count() // BUCKET))
-    suffix = F.substring(F.col("stretch"), F.col("place") + 1, F.lit(length))
-    dealt = some.repartitionByRange(n, suffix, "doc_id", "at")
+    seed_bytes, right = F.substring(F.col("stretch"), F.col("place") + 1, F.lit(seed)), F.substring(F.col("stretch"), F.col("place") + 1 + seed, F.lit(length))
+    back = F.unhex(F.reverse(F.hex(F.substring(F.col("stretch"), F.lit(1), F.col("place")))))
+    # a seed with many stretches is sorted on the side where they differ more, so a boundary within it shares little
+    side = some.where(F.col("k") > MANY).groupBy("seed").agg((F.approx_count_distinct(F.substring(back, 1, 16)) > F.approx_count_distinct(F.substring(right, 1, 16))).alias("leftwards"))
+    some = some.join(side, "seed", "left").withColumn("leftwards", F.coalesce("leftwards", F.lit(False)))
+    some = some.withColumn("key", F.concat(seed_bytes, F.when(F.col("leftwards"), back).otherwise(right)))
+    dealt = some.repartitionByRange(n, "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at").select("doc_id", "at", "windows", "place", "stretch", "key", "leftwards")
     marked = written(dealt.mapInArrow(lambda batches: _bucket(batches, length, seed), "doc_id long, `from` int, `to` int, window binary"), "marked")
     edge = marked.where("window is not null")
     least = edge.groupBy("window").agg(F.min(F.struct("doc_id", "from")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
