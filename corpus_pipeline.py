@@ -28,9 +28,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that start earlier; characters that a cut would split stay."""
-    text, size = docs.columns.index("text"), docs.columns.index("n_chars")
+    names = docs.columns
+    text, size = names.index("text"), names.index("n_chars")
     own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = suffixes.with_spans(own, suffixes.covered(own)).select(*docs.columns, "spans")
+    joined = suffixes.with_spans(own, suffixes.covered(own)).select(*names, "spans")
 
     def step(batches):
         for batch in batches:
@@ -38,7 +39,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             out = [t if t is None or not s else suffixes.kept_text(t, s) for t, s in zip(texts, batch.column(len(cols)).to_pylist(), strict=True)]
             cols[text] = pa.array(out, pa.string())
             cols[size] = pa.array([n if t is None else len(t) for t, n in zip(out, cols[size].to_pylist(), strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(step, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
 
