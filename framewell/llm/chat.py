@@ -11,8 +11,8 @@ backslash, ``#`` and ``<`` become a backslash followed by a backslash, ``h`` and
 roles also ``:`` as ``c``). ``parse`` and ``unescape`` are the exact inverse.
 
 Defined results: null role and null text are empty; a message whose parent is null or
-absent is a root; messages in or below a cycle reach no root and give no path; equal
-message ids of a tree are one node (the smallest role and text are kept); an empty table
+absent is a root; messages in or below a cycle reach no root and give no path, nor do
+messages without an id; messages without a tree id are one tree; equal message ids of a tree are one node (the smallest role and text are kept); an empty table
 gives an empty table; other columns are ignored. A conversation is one record: its
 formatted text is one row, however long.
 """
@@ -51,10 +51,12 @@ def paths(messages: DataFrame, tree: str = "tree_id", node: str = "message_id",
     A branch is named by its leaf; its score is the mean score of its messages (null counts
     as 0), ties going to the smaller leaf.
     """
-    m = messages.groupBy(F.col(tree).alias("t"), F.col(node).alias("n")).agg(F.min(F.struct(F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))).alias("x")).select("t", "n", "x.p", "x.s")
+    m = messages.where(F.col(node).isNotNull()).groupBy(F.struct(F.col(tree).alias("k")).alias("t"), F.col(node).alias("n")).agg(F.min(F.struct(F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))).alias("x")).select("t", "n", "x.p", "x.s")
     ids = m.select("t", F.col("n").alias("p"), F.lit(True).alias("known"))
     m = m.join(ids, ["t", "p"], "left").select("t", "n", F.when(F.col("known"), F.col("p")).alias("up"), F.array("n").alias("seg"), "s")
-    state, done, open_before = written(m, "paths"), [], None
+    state = written(m, "paths")
+    parents = state.where(F.col("up").isNotNull()).select("t", F.col("up").alias("n")).distinct()
+    done, open_before = [], None
     while True:
         left = state.where(F.col("up").isNotNull()).count()
         if not left or left == open_before:  # done, or only cycles are left
@@ -71,10 +73,9 @@ def paths(messages: DataFrame, tree: str = "tree_id", node: str = "message_id",
     for part in done:
         state = state.unionByName(part)
     rooted = state.where(F.col("up").isNull())
-    inner = rooted.select("t", F.explode(F.slice("seg", 1, F.size("seg") - 1)).alias("n")).distinct()
-    leaves = rooted.join(inner, ["t", "n"], "left_anti").withColumn("branch_score", F.col("s") / F.size("seg"))
+    leaves = rooted.join(parents, ["t", "n"], "left_anti").withColumn("branch_score", F.col("s") / F.size("seg"))
     w = Window.partitionBy("t").orderBy(F.desc("branch_score"), "n")
-    return leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select(F.col("t").alias(tree), F.col("n").alias("branch"), "rank", F.col("seg").alias("path"), "branch_score")
+    return leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select(F.col("t.k").alias(tree), F.col("n").alias("branch"), "rank", F.col("seg").alias("path"), "branch_score")
 
 
 def format_turns(turns: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -107,7 +108,8 @@ def trees(messages: DataFrame, keep: int = 1) -> DataFrame:
     chosen = paths(messages, keep=keep)
     steps = chosen.select("tree_id", "branch", "rank", F.posexplode("path").alias("turn", "message_id"))
     texts = messages.groupBy("tree_id", "message_id").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    turns = steps.join(texts, ["tree_id", "message_id"]).select("tree_id", "branch", "rank", "turn", "m.role", "m.text")
+    texts = texts.select(F.col("tree_id").alias("_t"), F.col("message_id").alias("_n"), "m")
+    turns = steps.join(texts, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("message_id") == F.col("_n"))).select("tree_id", "branch", "rank", "turn", "m.role", "m.text")
     return format_turns(turns, ["tree_id", "branch", "rank"], "turn")
 
 
