@@ -14,9 +14,9 @@ place is kept as u32, so ``select`` answers one offset by a short popcount scan.
 are rows of a Parquet table, whose committer keeps only the output of tasks that ended,
 so a lost executor leaves no half-written block.
 
-Defined results: a null or empty text has the end id alone; null doc ids are refused
-(they have no place in ascending order); equal doc ids follow each other; an empty table
-gives no blocks; other columns are ignored.
+Defined results: a null or empty text has the end id alone; documents without an id come
+before all others, in blocks that say so; equal doc ids follow each other in text order;
+an empty table gives no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .common import partitions, raw_file
 SAMPLE = 256
 MAGIC = b"FWTK\x01"
 HEADER = struct.Struct("<5sBBBQQQQq6Q")
+#: In place of a block's least doc id: its documents have none.
+NO_IDS = -(1 << 63)
 #: Characters of text in a block, unless one document is longer.
 BLOCK_CHARS = 4_000_000
 #: Distinct words that a worker remembers; beyond it the memo starts anew.
@@ -90,9 +92,11 @@ class EliasFano:
         return [self.low_bytes.tobytes(), self.high.tobytes(), self.samples.astype("<u4").tobytes()]
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: bytes, width: int, before: int) -> bytes:
-    """One block from ascending doc ids, ids per document and all ids in ``width`` bytes each."""
-    least = int(doc_ids[0]) if len(doc_ids) else 0
+def pack(doc_ids: np.ndarray | None, counts: np.ndarray, ids: bytes, width: int, before: int) -> bytes:
+    """One block from ascending doc ids (None: there are none), ids per document and all ids in ``width`` bytes each."""
+    least = NO_IDS if doc_ids is None else int(doc_ids[0]) if len(doc_ids) else 0
+    if doc_ids is None:
+        doc_ids = np.full(len(counts), least)
     ends, names = EliasFano.of(np.cumsum(counts)), EliasFano.of(doc_ids - least)
     parts = [*ends.arrays(), *names.arrays()]
     head = HEADER.pack(MAGIC, width, ends.low, names.low, 0, len(doc_ids), len(ids) // width, before, least, *map(len, parts))
@@ -117,8 +121,10 @@ class Block:
     def span(self, i: int) -> tuple[int, int]:
         return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
-    def doc_ids(self) -> np.ndarray:
-        return self.names.all() + self.least
+    def doc_ids(self) -> pa.Array:
+        if self.least == NO_IDS:
+            return pa.nulls(self.n_docs, pa.int64())
+        return pa.array(self.names.all() + self.least)
 
 
 class WordEncoder:
@@ -131,6 +137,8 @@ class WordEncoder:
     """
 
     ODD = "\x1c\x1d\x1e\x1f"
+    #: Marks that end a word and that the library encodes by themselves.
+    MARKS = ",.;:!?"
 
     def __init__(self, raw: bytes, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,9 +146,31 @@ class WordEncoder:
 
         self.tok, self.kind, self.memo = Tokenizer.from_str(raw.decode()), f"<u{width}", {}
         self.by_word = splits_at_spaces(self.tok)
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.by_mark = all(ids(w + m) == ids(w) + ids(m) for w in ("abc", "É", "日本") for m in (*self.MARKS, ".,", "?!"))
+        self.any_case = ids("ABC dEf") == ids("abc def")
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        return [np.array(e.ids, self.kind).tobytes() for e in encode(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words; a letters-only word and the marks after it are encoded once each."""
+        memo, parts, rest = self.memo, {}, set()
+        for w in words:
+            core = w.rstrip(self.MARKS) if self.by_mark else w
+            if not core.isalpha():
+                core = w
+            tail = w[len(core) :]
+            if self.any_case and core.isascii() and core.isalpha():
+                core = core.lower()
+            parts[w] = core, tail
+            rest.update(x for x in (core, tail) if x and x not in memo)
+        rest = list(rest)
+        for i in range(0, len(rest), 20_000):
+            memo.update(zip(rest[i : i + 20_000], self.whole(rest[i : i + 20_000]), strict=True))
+        for w, (core, tail) in parts.items():
+            memo[w] = memo[core] + memo[tail] if tail else memo[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -151,8 +181,7 @@ class WordEncoder:
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = list(set().union(*[s for s in split if s]))
-        for i in range(0, len(new), 20_000):
-            memo.update(zip(new[i : i + 20_000], self.whole(new[i : i + 20_000]), strict=True))
+        self._learn(new)
         get = memo.__getitem__
         return [self.whole([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
@@ -185,18 +214,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         enc, part, block, before = _encoders[key], TaskContext.get().partitionId(), 0, 0
         stop = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
-            if batch.column(0).null_count:
-                raise ValueError("a document without an id has no place in ascending order")
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [t or "" for t in batch.column(1).to_pylist()]
+            none = batch.column(0).null_count  # they come first
+            ids, texts = batch.column(0).fill_null(0).to_numpy(), [t or "" for t in batch.column(1).to_pylist()]
             i = 0
             while i < len(texts):
                 j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j]) <= BLOCK_CHARS):
+                end = none if i < none else len(texts)
+                while j < end and (j == i or n + len(texts[j]) <= BLOCK_CHARS):
                     n += len(texts[j])
                     j += 1
                 got = enc.encode(texts[i:j])
                 counts = np.fromiter(map(len, got), np.int64, j - i) // width + 1
-                data = pack(ids[i:j], counts, stop.join(got) + stop, width, before)
+                data = pack(None if i < none else ids[i:j], counts, stop.join(got) + stop, width, before)
                 total = int(counts.sum())
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "block", "n_ids", "data"])
                 block, before, i = block + 1, before + total, j
@@ -235,6 +264,6 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         ids = b.ids.astype("<u4")
         crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(b.doc_ids()), pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([b.doc_ids(), pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return read(spark, path, of, "doc_id long, start long, n_tokens long, ids_crc32 long")
