@@ -109,12 +109,13 @@ def test_chat_trees(spark):
 def test_chat_digests_of_repeated_turns(spark):
     from framewell.llm import chat
 
-    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "é😀"), (2, 0, "assistant", None)]
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "é😀"), (2, 0, "assistant", None), (None, 0, "user", "x"), (None, None, None, None)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["tree_id"]: r for r in chat.digests(chat.trees(chat.as_trees(c)), "tree_id").collect()}
     assert (got[1]["n_turns"], got[1]["turns_sha256"]) == (3, sha("user\na\nuser\na\nassistant\né😀\n"))
     assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (2, sha("é😀"))
     assert (got[2]["n_turns"], got[2]["loss_chars"]) == (1, 0)
+    assert (got[None]["n_turns"], got[None]["turns_sha256"]) == (2, sha("\n\nuser\nx\n"))
 
 
 def test_quality(spark, empty):
@@ -333,6 +334,9 @@ def test_token_files(spark, docs, empty, tmp_path):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    tokenfile.write(docs.select(tokenfile.F.when(docs.doc_id > 9, docs.doc_id).alias("doc_id"), "text"), str(tmp_path / "n"), path, 2)
+    back = tokenfile.offsets(spark, str(tmp_path / "n")).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == [None] * 4 + sorted(i for i, *_ in corpus() if i > 9) and back[-1]["start"] + back[-1]["n_tokens"] == sum(r["n_tokens"] for r in back)
     tokenfile.write(empty, str(tmp_path / "e"), path, 2)
     assert tokenfile.offsets(spark, str(tmp_path / "e")).count() == 0
 
@@ -351,6 +355,8 @@ def test_spotsigs(spark, docs, empty):
         assert r["near_next"] == pytest.approx(len(f & g) / len(f | g) if f | g else 1.0)
         assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"]
     assert spotsigs.digests(empty).count() == 0
+    long = spark.createDataFrame([(1, "the " * 50_000, "", "", 0), (2, "word " * 50_000 + "!" * 90_000, "", "", 0)], DOCS)
+    assert spotsigs.digests(long).where("near_next < 0.5").count() == 2
     one = spotsigs.digests(docs.where("doc_id = 9")).first()
     assert one["near_next"] == 1.0
 
@@ -382,3 +388,34 @@ def test_sharding(spark, docs, empty):
     assert abs(share[1] / 40_000 - 0.75) < 0.01
     grown = {r["grown_shard"]: r["count"] for r in sharding.shard(many, 4).groupBy("grown_shard").count().collect()}
     assert abs(grown[4] / 40_000 - 0.2) < 0.01
+
+
+def test_nulls_everywhere(spark):
+    """Rows of nulls alone, repeated, go through every operator on documents."""
+    from framewell.llm import bpe, decontaminate, jaccard, phrases, quality, sharding, spotsigs, suffixes
+
+    d = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(None, "a b c " * 60, "", "", 0)] * 2 + [(1, "a b c " * 60, "", "", 0)] * 2, DOCS)
+    b = spark.createDataFrame([(None, None), (1, None), (None, "a")], "item_id long, text string")
+    assert bpe.digests(d, P.path("byte_bpe_50k.tiktoken")).count() == 6
+    assert quality.digests(d, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")).count() == 6
+    assert decontaminate.clean(d, b).count() == 6 - decontaminate.hits(d, b).select("doc_id").count()
+    got = suffixes.digests(d).collect()
+    assert len(got) == 6 and {r["n_removed"] for r in got if r["doc_id"] is None} == {0} and {r["n_removed"] for r in got if r["doc_id"] == 1} == {354}
+    assert phrases.digests(d).count() == 6
+    assert [tuple(r) for r in jaccard.join(d).collect()] == [(1, 1, 0)]
+    assert sharding.shard(d).count() == 6 and spotsigs.digests(d).count() == 6
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    out = p.run(spark, SF)
+    docs, ids = spark.read.parquet(f"{SF}/documents.parquet"), [r["doc_id"] for r in out.collect()]
+    assert len(ids) == len(set(ids)) and 0 < len(ids) < docs.count()
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "x", "", "", 1), (3, "", "", "", 0)]
+    for table in (spark.createDataFrame([], DOCS), spark.createDataFrame(rows, DOCS)):
+        for name, stage in p.STAGES:
+            table = stage(spark, table, SF)
+            if name != p.STAGES[-1][0]:
+                assert table.columns == docs.columns
+        assert table.count() in (0, 2)  # null and empty texts are equal
