@@ -45,7 +45,8 @@ def _alternation(words: list[str]) -> str:
     return "(?:" + "|".join(f"{k}(?:{'|'.join(sorted(v, key=len, reverse=True))})" for k, v in by.items()) + ")"
 
 
-_ANCHORS = rf"((?: {_alternation(COMMON.split())}(?= ))+)"
+#: A run is cut after eight common words: the pattern engine's stack grows with a group's repeats.
+_ANCHORS = rf"((?: {_alternation(COMMON.split())}(?= )){{1,8}})"
 _LONG = rf"((?: [^ \n\t]+){{{STRETCH}}})(?= )"
 
 
