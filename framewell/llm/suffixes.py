@@ -28,7 +28,7 @@ from .common import SliceHash, partitions, runs_to_index, words8, written
 from .windows import repeated
 
 #: Stretches of a bucket; different stretches of a seed above which its better side is looked for.
-BUCKET, MANY = 20_000, 300
+BUCKET, MANY = 20_000, 20
 
 
 def bytes_as_units(b: np.ndarray, off: np.ndarray):
