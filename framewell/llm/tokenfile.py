@@ -145,7 +145,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.kind, self.memo = Tokenizer.from_str(raw.decode()), f"<u{width}", {}
-        self.by_word = splits_at_spaces(self.tok)
+        self.by_word, self.normal = splits_at_spaces(self.tok), self.tok.normalizer
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.by_mark = all(ids(w + m) == ids(w) + ids(m) for w in ("abc", "É", "日本") for m in (*self.MARKS, ".,", "?!"))
         self.any_case = ids("ABC dEf") == ids("abc def")
@@ -154,12 +154,18 @@ class WordEncoder:
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [np.array(e.ids, self.kind).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _letters(self, core: str) -> bool:
+        """Whether a word is letters alone, before and after the file's normalizer, which makes combining marks of some letters."""
+        if not core.isalpha():
+            return False
+        return core.isascii() or self.normal is None or self.normal.normalize_str(core).isalpha()
+
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of words; a letters-only word and the marks after it are encoded once each."""
         memo, parts, rest = self.memo, {}, set()
         for w in words:
             core = w.rstrip(self.MARKS) if self.by_mark else w
-            if not core.isalpha():
+            if not self._letters(core):
                 core = w
             tail = w[len(core) :]
             if self.any_case and core.isascii() and core.isalpha():

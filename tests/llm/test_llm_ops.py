@@ -341,6 +341,19 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert tokenfile.offsets(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_letters_that_become_marks():
+    """Letters that the normalizer takes apart stay with the punctuation after them."""
+    from framewell.llm import tokenfile
+
+    raw = open(P.path("word_bpe_49k.json"), "rb").read()
+    enc = tokenfile.WordEncoder(raw, 2)
+    assert enc.by_word and enc.by_mark
+    words = [w + c + t + m for c in "\u0130\u095c\u09dc\u0a33\ufb1d\ufb4e\u00c9" for w in ("", "GAZ", "\u091c", "ab\u0130") for t in ("", "a") for m in ("", *enc.MARKS, "?!", "...")]
+    want = [np.array(enc.tok.encode(w, add_special_tokens=False).ids, enc.kind).tobytes() for w in words]
+    assert enc.encode(words) == want
+    assert enc.encode([" ".join(words)]) == [b"".join(want)]
+
+
 def test_spotsigs(spark, docs, empty):
     from framewell.llm import spotsigs
 
