@@ -124,7 +124,7 @@ class Block:
     def doc_ids(self) -> pa.Array:
         if self.least == NO_IDS:
             return pa.nulls(self.n_docs, pa.int64())
-        return pa.array(self.names.all() + self.least)
+        return pa.array([self.names.select(i) + self.least for i in range(self.n_docs)], pa.int64())
 
 
 class WordEncoder:
@@ -262,14 +262,13 @@ def read(spark: SparkSession, path: str, per_block, schema: str) -> DataFrame:
     return blocks.select("part", "data").mapInArrow(step, schema)
 
 
-def offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+def spans(b: Block, before: int) -> pa.RecordBatch:
+    """(doc_id, start, n_tokens, ids_crc32) of a block's documents, each found by select."""
+    ids, at = b.ids.astype("<u4"), [b.span(i) for i in range(b.n_docs)]
+    columns = [s + before for s, _ in at], [e - s for s, e in at], [zlib.crc32(ids[s:e]) for s, e in at]
+    return pa.RecordBatch.from_arrays([b.doc_ids(), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    def of(b: Block, before: int):
-        ends = b.ends.all()
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        ids = b.ids.astype("<u4")
-        crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([b.doc_ids(), pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read(spark, path, of, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    return read(spark, path, spans, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -354,6 +354,26 @@ def test_letters_that_become_marks():
     assert enc.encode([" ".join(words)]) == [b"".join(want)]
 
 
+def test_blocks_are_read_by_select():
+    """Spans and doc ids of a block read back come through its select samples: damaged ones do not go unseen."""
+    from framewell.llm import tokenfile as t
+
+    rnd = np.random.default_rng(2)
+    n = 3 * t.SAMPLE + 5
+    counts, names = rnd.integers(1, 40, n), np.cumsum(rnd.integers(0, 2000, n)) - 5000
+    ids = rnd.integers(0, 49_000, int(counts.sum())).astype("<u2")
+    ends = np.cumsum(counts)
+    data = t.pack(names, counts, ids.tobytes(), 2, 0)
+    got = t.spans(t.Block(data), 70).to_pydict()
+    assert got["doc_id"] == names.tolist() and got["start"] == (ends - counts + 70).tolist() and got["n_tokens"] == counts.tolist()
+    assert got["ids_crc32"] == [zlib.crc32(ids[e - c : e].astype("<u4")) for c, e in zip(counts, ends, strict=True)]
+    sizes = t.HEADER.unpack_from(data)[-6:]
+    for list_at, column in ((2, "n_tokens"), (5, "doc_id")):
+        at = t.HEADER.size + sum(sizes[:list_at])
+        bad = data[: at + 4] + bytes(sizes[list_at] - 4) + data[at + sizes[list_at] :]
+        assert t.spans(t.Block(bad), 70).to_pydict()[column] != got[column]
+
+
 def test_spotsigs(spark, docs, empty):
     from framewell.llm import spotsigs
 
