@@ -409,6 +409,13 @@ def fx_hsv(spark, sf_dir):
     return px.select("media_id", "frame", "y", "x", *[F.floor(F.col(f"c.{k}") * 1e6 + 0.5).cast("double").alias(f"{k}_e6") for k in "hsv"])
 
 
+@query("fx_hsv_clip", f"""SELECT media_id, frame, y, x, floor((CASE WHEN hi = lo THEN 0 WHEN hi = r THEN ((g - b) / (hi - lo) + 6) % 6 WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END) * 60 * 1e6 + 0.5) AS h_e6,
+floor(CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi * 100 END * 1e6 + 0.5) AS s_e6, floor(hi / 255 * 100 * 1e6 + 0.5) AS v_e6 FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM {fx('noise')})""")
+def fx_hsv_clip(spark, sf_dir):
+    px = CLIPS["noise"].pixels(spark).withColumn("c", color.hsv(F.col("r"), F.col("g"), F.col("b")))
+    return px.select("media_id", "frame", "y", "x", *[F.floor(F.col(f"c.{k}") * 1e6 + 0.5).cast("double").alias(f"{k}_e6") for k in "hsv"])
+
+
 @query("fx_luma3", f"SELECT media_id, frame, y, x, floor((0.2126 * r + 0.7152 * g + 0.0722 * b) * 1e6 + 0.5) AS bt709, floor((0.299 * r + 0.587 * g + 0.114 * b) * 1e6 + 0.5) AS bt601, (r + g + b) / 3.0 AS mean FROM {fx('image16')}")
 def fx_luma3(spark, sf_dir):
     c = [F.col(k) for k in "rgb"]
@@ -441,6 +448,14 @@ def em_box_smooth(spark, sf_dir):
     return preview.box_smooth(px, 8, 8, 3)
 
 
+@query("em_box_smooth_frames", f"""WITH e AS (SELECT media_id, frame, y, x, r FROM {EM})
+SELECT a.media_id, a.frame, a.y, a.x, CAST(sum(b.r) AS DOUBLE) / 9 AS v FROM e a, (VALUES (-1), (0), (1)) AS i(dy), (VALUES (-1), (0), (1)) AS j(dx), e b
+WHERE b.media_id = a.media_id AND b.frame = a.frame AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7) GROUP BY a.media_id, a.frame, a.y, a.x""")
+def em_box_smooth_frames(spark, sf_dir):
+    px = clips.embedding_clips(spark, sf_dir).select("media_id", "frame", "y", "x", F.col("r").alias("v"))
+    return preview.box_smooth(px, 8, 8, 3, by=("media_id", "frame"))
+
+
 @query("em_destripe", f"""SELECT media_id, frame, y, x, floor((r - avg(r) OVER (PARTITION BY media_id, frame, x) - avg(r) OVER (PARTITION BY media_id, frame, y) + avg(r) OVER (PARTITION BY media_id, frame)) * 1e6 + 0.5) AS v_e6 FROM {EM}""")
 def em_destripe(spark, sf_dir):
     px = clips.embedding_clips(spark, sf_dir).select("media_id", "frame", "y", "x", F.col("r").alias("v"))

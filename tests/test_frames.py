@@ -184,6 +184,20 @@ def test_preview(spark):
     assert {r["v"] for r in preview.stretch(flat, ["media_id"], ["v"]).collect()} == {128}
 
 
+def test_queries_of_whole_clips(spark):
+    """A registered query covers every vector, or every frame, where em_box_smooth and fx_hsv take the first."""
+    from framewell.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    out = QUERIES["em_box_smooth_frames"](spark, sf)
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert out.count() == 64 * n and out.select("media_id", "frame").distinct().count() == n
+    first, old = (sorted(map(tuple, d.select("media_id", "y", "x", "v").collect())) for d in (out.where("frame = 0"), QUERIES["em_box_smooth"](spark, sf)))
+    assert first == old
+    whole = QUERIES["fx_hsv_clip"](spark, sf)
+    assert whole.count() == 40 * 64 * 64 and whole.where("frame < 3").exceptAll(QUERIES["fx_hsv"](spark, sf)).count() == 0
+
+
 def test_flow(spark):
     try:
         import cv2  # noqa: F401
