@@ -17,21 +17,45 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
+def _repeated(docs: DataFrame) -> bool:
+    """Whether an id occurs more than once."""
+    return docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``: a number for each different id and text, in order of id and text hash; null without an id."""
+    own = docs.withColumn("_hash", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    pairs = own.where("doc_id is not null").select("doc_id", "_hash").distinct()
+    order = [F.col("doc_id").cast("long"), F.col("_hash")]
+    pairs = written(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "rows")
+    return own.join(pairs, ["doc_id", "_hash"], "left").select(*docs.columns, "row")
+
+
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal or near copies: that of the least id."""
-    gone = jaccard.join(docs).where("doc_id <> class_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """One document of each group of equal or near copies: that of the least id, and of its texts that of the least hash.
+
+    Different texts of one id are documents of their own; of rows equal in id and text the least stays. Rows without an id stay.
+    """
+    if not _repeated(docs):
+        gone = jaccard.join(docs).where("doc_id <> class_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = _numbered(docs).where("row is not null")
+    gone = jaccard.join(rows.select(F.col("row").alias("doc_id"), "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("row"))
+    kept = rows.join(gone, "row", "left_anti").groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 100 bytes that start earlier; characters that a cut would split stay."""
+    """Texts without the strings of 100 bytes that start earlier; characters that a cut would split stay.
+
+    Different texts of one id are documents of their own, in order of their hashes.
+    """
     names = docs.columns
     text, size = names.index("text"), names.index("n_chars")
-    own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = suffixes.with_spans(own, suffixes.covered(own)).select(*names, "spans")
+    own = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_id", F.col("doc_id"))
+    if _repeated(docs):
+        own = _numbered(own).withColumn("doc_id", F.col("row"))
+    joined = suffixes.with_spans(own, suffixes.covered(own)).select(*[F.col("_id").alias(n) if n == "doc_id" else n for n in names], "spans")
 
     def step(batches):
         for batch in batches:

@@ -452,3 +452,23 @@ def test_pipeline(spark):
             if name != p.STAGES[-1][0]:
                 assert table.columns == docs.columns
         assert table.count() in (0, 2)  # null and empty texts are equal
+
+
+def test_pipeline_judges_each_text_of_an_id(spark):
+    import corpus_pipeline as p
+
+    prose = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    a, b, c = prose("a", 80), prose("b", 80), prose("c", 80)
+    near = [f"{a} end{i}" for i in range(3)]
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (1, b, "en", "r", 0), (2, c, "en", "s", 0), (3, None, "en", "s", 0), (None, a, "en", "s", 0)]
+    rows += [(5, t, "en", "s", 0) for t in (*near, prose("d", 80), prose("e", 80), b)] + [(6, "", "en", "s", 0), (6, prose("f", 80), "en", "s", 0)]
+    got = p.ngram_jaccard(spark, spark.createDataFrame(rows, DOCS).repartition(3), SF)
+    assert got.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    want = [(1, a, "s"), (1, b, "r"), (2, c, "s"), (3, None, "s"), (None, a, "s"), (5, prose("d", 80), "s"), (5, prose("e", 80), "s"), (6, prose("f", 80), "s")]
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["source"]) for r in got.collect()))) == sorted(map(str, want))
+
+    passage = prose("shared", 30)
+    rows = [(1, "one " + passage, "en", "s", 0), (2, prose("x", 60), "en", "s", 0), (2, passage + prose(" y", 60), "en", "s", 0), (2, passage + prose(" y", 60), "en", "s", 0)]
+    got = p.suffix_dedup(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    left = [(1, "one " + passage), (2, prose("x", 60)), *[(2, prose(" y", 60).strip())] * 2]
+    assert sorted((r["doc_id"], r["text"].strip()) for r in got) == sorted(left) and all(r["n_chars"] == len(r["text"]) for r in got)
