@@ -17,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -40,7 +41,7 @@ def measure(text: str) -> list[float]:
     words = text.split()
     n = max(len(words), 1)
     total = max(int(data.sum()), 1)
-    seen = set(words)
+    seen = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
     length = sum(map(len, words))
     short = sum(map((4).__gt__, map(len, words)))
@@ -60,7 +61,7 @@ def measure(text: str) -> list[float]:
         float(data[_SYMBOLS].sum()) / n,
         len(lines) / n,
         len(set(lines)) / max(len(lines), 1),
-        words.count(words[len(words) // 2]) / n if words else 0.0,
+        max(seen.values(), default=0) / n,
     ]
 
 

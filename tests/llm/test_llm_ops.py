@@ -136,6 +136,14 @@ def test_quality(spark, empty):
     assert quality.score(d.withColumn("score", quality.F.lit("x")), model).count() == 1000
 
 
+def test_top_word_is_the_commonest():
+    from framewell.llm import quality
+
+    at = quality.FEATURES.index("top_word")
+    got = [quality.measure(t)[at] for t in ("spam " * 10 + "odd" + " spam" * 10, "a b a c d", "the x", "", " ")]
+    assert got == [20 / 21, 2 / 5, 1 / 2, 0, 0]
+
+
 def test_quality_learns_a_pair():
     from framewell.llm import quality
 
