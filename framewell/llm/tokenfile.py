@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by id, encoded, and written as blocks. A block
 is self-contained bytes:
 
-    magic "FWTK", version u8, id width u8, low bits of the two lists u8 u8, pad u64
+    magic "FWTK", version u8, id width u8, low bits of the two lists u8 u8, flags u64
     n_docs u64, n_ids u64, before u64 (ids of earlier blocks of the part), least doc id i64
     sizes of the six arrays, u64 each
     boundaries: low bits, high bits, select samples; doc ids: the same three; then the ids
@@ -15,13 +15,15 @@ are rows of a Parquet table, whose committer keeps only the output of tasks that
 so a lost executor leaves no half-written block.
 
 Defined results: a null or empty text has the end id alone; documents without an id come
-before all others, in blocks that say so; equal doc ids follow each other in text order;
-an empty table gives no blocks; other columns are ignored.
+before all others, in blocks that say so; equal doc ids, and documents without one, follow
+each other in order of text hash and text, so that many of them are spread over tasks; an
+empty table gives no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 
@@ -36,11 +38,11 @@ from .common import partitions, raw_file
 SAMPLE = 256
 MAGIC = b"FWTK\x01"
 HEADER = struct.Struct("<5sBBBQQQQq6Q")
-#: In place of a block's least doc id: its documents have none.
-NO_IDS = -(1 << 63)
+#: Flag of a block whose documents have no ids.
+NO_IDS = 1
 #: Characters of text in a block, unless one document is longer.
 BLOCK_CHARS = 4_000_000
-#: Distinct words that a worker remembers; beyond it the memo starts anew.
+#: Distinct words after which a worker's memo starts anew; the one before it is kept for words that come again.
 MEMO = 1_000_000
 
 
@@ -85,8 +87,8 @@ class EliasFano:
 
     def all(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low_bytes, count=self.n * self.low, bitorder="little").reshape(self.n, self.low).astype(np.int64)
-        return (at - np.arange(self.n)) << self.low | (bits << np.arange(self.low)).sum(axis=1)
+        bits = np.unpackbits(self.low_bytes, count=self.n * self.low, bitorder="little").reshape(self.n, self.low).astype(np.uint64)
+        return (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low) | (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def arrays(self) -> list[bytes]:
         return [self.low_bytes.tobytes(), self.high.tobytes(), self.samples.astype("<u4").tobytes()]
@@ -94,12 +96,13 @@ class EliasFano:
 
 def pack(doc_ids: np.ndarray | None, counts: np.ndarray, ids: bytes, width: int, before: int) -> bytes:
     """One block from ascending doc ids (None: there are none), ids per document and all ids in ``width`` bytes each."""
-    least = NO_IDS if doc_ids is None else int(doc_ids[0]) if len(doc_ids) else 0
+    flags = NO_IDS if doc_ids is None else 0
     if doc_ids is None:
-        doc_ids = np.full(len(counts), least)
-    ends, names = EliasFano.of(np.cumsum(counts)), EliasFano.of(doc_ids - least)
+        doc_ids = np.zeros(len(counts), np.int64)
+    least = int(doc_ids[0]) if len(doc_ids) else 0
+    ends, names = EliasFano.of(np.cumsum(counts)), EliasFano.of(doc_ids.astype(np.int64).view(np.uint64) - np.int64(least).view(np.uint64))
     parts = [*ends.arrays(), *names.arrays()]
-    head = HEADER.pack(MAGIC, width, ends.low, names.low, 0, len(doc_ids), len(ids) // width, before, least, *map(len, parts))
+    head = HEADER.pack(MAGIC, width, ends.low, names.low, flags, len(doc_ids), len(ids) // width, before, least, *map(len, parts))
     return b"".join([head, *parts, ids])
 
 
@@ -107,7 +110,7 @@ class Block:
     """A block read back."""
 
     def __init__(self, data: bytes):
-        magic, self.width, low, low2, _, self.n_docs, self.n_ids, self.before, self.least, *sizes = HEADER.unpack_from(data)
+        magic, self.width, low, low2, self.flags, self.n_docs, self.n_ids, self.before, self.least, *sizes = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token block")
         at, parts = HEADER.size, []
@@ -122,7 +125,7 @@ class Block:
         return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def doc_ids(self) -> pa.Array:
-        if self.least == NO_IDS:
+        if self.flags & NO_IDS:
             return pa.nulls(self.n_docs, pa.int64())
         return pa.array([self.names.select(i) + self.least for i in range(self.n_docs)], pa.int64())
 
@@ -134,62 +137,111 @@ class WordEncoder:
     those of its white-space-separated words. ``splits_at_spaces`` says whether a file is
     such; texts of other files, and texts with control characters that Python alone takes
     for white space, go to the library whole.
+
+    New words go to the library many at a time. Where a file marks the last id of each of
+    its pieces, words that are one piece (letters alone, by the library's own splitting of
+    each letter) are encoded as one text and cut at the marks; others are a text each.
     """
 
     ODD = "\x1c\x1d\x1e\x1f"
     #: Marks that end a word and that the library encodes by themselves.
     MARKS = ",.;:!?"
+    #: Words in one text; what ends the last id of a piece.
+    JOINED, LAST = 400, "</w>"
 
     def __init__(self, raw: bytes, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.kind, self.memo = Tokenizer.from_str(raw.decode()), f"<u{width}", {}
+        self.tok, self.kind, self.memo, self.older = Tokenizer.from_str(raw.decode()), f"<u{width}", {}, {}
         self.by_word, self.normal = splits_at_spaces(self.tok), self.tok.normalizer
-        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
-        self.by_mark = all(ids(w + m) == ids(w) + ids(m) for w in ("abc", "É", "日本") for m in (*self.MARKS, ".,", "?!"))
-        self.any_case = ids("ABC dEf") == ids("abc def")
+        self.ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.by_mark = all(self.ids(w + m) == self.ids(w) + self.ids(m) for w in ("abc", "É", "日本") for m in (*self.MARKS, ".,", "?!"))
+        self.any_case = self.ids("ABC dEf XYZ") == self.ids("abc def xyz")
+        self.letters, self.others, self.latin = set(), set(), False
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith(self.LAST)]] = True
+        self.latin = self._plain(string.ascii_letters)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [np.array(e.ids, self.kind).tobytes() for e in encode(texts, add_special_tokens=False)]
 
-    def _letters(self, core: str) -> bool:
-        """Whether a word is letters alone, before and after the file's normalizer, which makes combining marks of some letters."""
-        if not core.isalpha():
-            return False
-        return core.isascii() or self.normal is None or self.normal.normalize_str(core).isalpha()
+    def _pieces(self, text: str) -> list[str]:
+        text = self.normal.normalize_str(text) if self.normal else text
+        return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)] if self.tok.pre_tokenizer else [text]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words; a letters-only word and the marks after it are encoded once each."""
-        memo, parts, rest = self.memo, {}, set()
+    def _plain(self, word: str) -> bool:
+        """Whether the library takes the word for one piece, whatever marks follow: each character is a letter to it."""
+        if word.isascii() and word.isalpha() and self.latin or self.letters.issuperset(word):
+            return True
+        if not self.others.isdisjoint(word):
+            return False
+        mark = self._pieces(",")
+        for c in set(word) - self.letters:
+            inside, before = self._pieces(f"a{c}b"), self._pieces(f"{c},")
+            (self.letters if c.isalpha() and len(inside) == 1 and len(before) == 2 and before[1:] == mark else self.others).add(c)
+        return self.letters.issuperset(word)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words; letters alone and the marks after them are encoded once each."""
+        memo, older, marks, plain = self.memo, self.older, self.MARKS if self.by_mark else "", self._plain
+        parts, one, rest = [], set(), set()
         for w in words:
-            core = w.rstrip(self.MARKS) if self.by_mark else w
-            if not self._letters(core):
-                core = w
-            tail = w[len(core) :]
-            if self.any_case and core.isascii() and core.isalpha():
-                core = core.lower()
-            parts[w] = core, tail
-            rest.update(x for x in (core, tail) if x and x not in memo)
-        rest = list(rest)
+            if w in older:
+                memo[w] = older[w]
+                continue
+            core = w.rstrip(marks)
+            if core and plain(core):
+                tail = w[len(core) :]
+                if self.any_case and core.isascii():
+                    core = core.lower()
+                one.add(core)
+                if tail:
+                    rest.add(tail)
+                if core != w:
+                    parts.append((w, core, tail))
+            else:
+                rest.add(w)
+        one, rest = [w for w in one if w not in memo], [w for w in rest if w not in memo]
+        groups = [one[i : i + self.JOINED] for i in range(0, len(one), self.JOINED)]
+        for words, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
+            self._cut(words, ids)
         for i in range(0, len(rest), 20_000):
             memo.update(zip(rest[i : i + 20_000], self.whole(rest[i : i + 20_000]), strict=True))
-        for w, (core, tail) in parts.items():
+        for w, core, tail in parts:
             memo[w] = memo[core] + memo[tail] if tail else memo[core]
 
+    def _cut(self, words: list[str], ids: bytes) -> None:
+        """Remember words of one piece each from the ids of their joined text."""
+        ends = (np.flatnonzero(self.last[np.frombuffer(ids, self.kind)]) + 1) * np.dtype(self.kind).itemsize
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            at = [0, *ends.tolist()]
+            self.memo.update((w, ids[s:e]) for w, s, e in zip(words, at, at[1:], strict=False))
+        else:  # a file without such marks
+            self.memo.update(zip(words, self.whole(words), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        memo = self.memo
-        new = list(set().union(*[s for s in split if s]).difference(memo.keys()))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set().union(*[s for s in split if s]))
-        self._learn(new)
-        get = memo.__getitem__
-        return [self.whole([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        found, new, get = [], set(), self.memo.get
+        for s in split:
+            got = list(map(get, s)) if s else []
+            if None in got:
+                new.update([w for w, x in zip(s, got, strict=True) if x is None])
+            found.append(got)
+        if new:
+            self._learn(new)
+        memo, out = self.memo, []
+        for t, s, got in zip(texts, split, found, strict=True):
+            if None in got:
+                got = [memo[w] if x is None else x for w, x in zip(s, got, strict=True)]
+            out.append(self.whole([t])[0] if s is None else b"".join(got))
+        return out
 
 
 def splits_at_spaces(tok) -> bool:
@@ -236,8 +288,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "block", "n_ids", "data"])
                 block, before, i = block + 1, before + total, j
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    rows = rows.repartitionByRange(partitions(spark), id_col).sortWithinPartitions(id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    order = ["id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
     rows.mapInArrow(step, "part int, block int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
@@ -264,7 +317,8 @@ def read(spark: SparkSession, path: str, per_block, schema: str) -> DataFrame:
 
 def spans(b: Block, before: int) -> pa.RecordBatch:
     """(doc_id, start, n_tokens, ids_crc32) of a block's documents, each found by select."""
-    ids, at = b.ids.astype("<u4"), [b.span(i) for i in range(b.n_docs)]
+    ids, ends = b.ids.astype("<u4"), [b.ends.select(i) for i in range(b.n_docs)]
+    at = list(zip([0, *ends], ends, strict=False))
     columns = [s + before for s, _ in at], [e - s for s, e in at], [zlib.crc32(ids[s:e]) for s, e in at]
     return pa.RecordBatch.from_arrays([b.doc_ids(), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
