@@ -8,54 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm import bpe, decontaminate, jaccard, quality, suffixes
-from framewell.llm.common import table, written
+from framewell.llm.common import fresh, numbered, repeated_ids, table, trimmed, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of these documents, doesn't reject."""
+    """Documents that the classifier, fitted on the labels of these documents, doesn't reject.
+
+    Null and empty texts are scored from zero features; equal texts go or stay together.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
-def _repeated(docs: DataFrame) -> bool:
-    """Whether an id occurs more than once."""
-    return docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``: a number for each different id and text, in order of id and text hash; null without an id."""
-    own = docs.withColumn("_hash", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
-    pairs = own.where("doc_id is not null").select("doc_id", "_hash").distinct()
-    order = [F.col("doc_id").cast("long"), F.col("_hash")]
-    pairs = written(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "rows")
-    return own.join(pairs, ["doc_id", "_hash"], "left").select(*docs.columns, "row")
-
-
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal or near copies: that of the least id, and of its texts that of the least hash.
 
-    Different texts of one id are documents of their own; of rows equal in id and text the least stays. Rows without an id stay.
+    Different texts of one id are documents of their own; of rows equal in id and text the
+    least stays. Rows without an id stay. Null and empty texts are equal.
     """
-    if not _repeated(docs):
-        gone = jaccard.join(docs).where("doc_id <> class_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    rows = _numbered(docs).where("row is not null")
-    gone = jaccard.join(rows.select(F.col("row").alias("doc_id"), "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("row"))
-    kept = rows.join(gone, "row", "left_anti").groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    row = fresh("row", docs.columns)
+    rows = numbered(docs, row).where(F.col(row).isNotNull())
+    gone = jaccard.join(rows.select(F.col(row).alias("doc_id"), "text")).where("doc_id <> class_id").select(F.col("doc_id").alias(row))
+    kept = rows.join(gone, row, "left_anti")
+    if repeated_ids(docs):
+        kept = kept.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that start earlier; characters that a cut would split stay.
 
-    Different texts of one id are documents of their own, in order of their hashes.
+    Different texts of one id are documents of their own, in order of their hashes; equal
+    rows stay, cut alike. Rows without an id, null and empty texts stay as they are.
     """
     names = docs.columns
     text, size = names.index("text"), names.index("n_chars")
-    own = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_id", F.col("doc_id"))
-    if _repeated(docs):
-        own = _numbered(own).withColumn("doc_id", F.col("row"))
-    joined = suffixes.with_spans(own, suffixes.covered(own)).select(*[F.col("_id").alias(n) if n == "doc_id" else n for n in names], "spans")
+    row, spans = fresh("row", names), fresh("spans", names)
+    own = numbered(docs, row)
+    found = suffixes.covered(own.select(F.col(row).alias("doc_id"), "text"))
+    joined = suffixes.with_spans(own, found, row, spans).select(*names, spans)
 
     def step(batches):
         for batch in batches:
@@ -65,16 +56,16 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             cols[size] = pa.array([n if t is None else len(t) for t, n in zip(out, cols[size].to_pylist(), strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(step, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
+    return joined.mapInArrow(trimmed(step), docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts have none, repeated rows go or stay together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, encoded and decoded, by count and digests."""
+    """Ids of each text (null: empty), encoded and decoded, by count and digests; a row for every row."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
