@@ -275,7 +275,8 @@ def requests():
 def test_engine(spark, tmp_path):
     media = {"basic": (px(spark, "basic"), 32, 32)}
     p = engine.plan(requests(), media)
-    assert p.decode_nodes == 1 and len(p.graph.nodes) == 14
+    # source, decode, two selections, xt, path_t, frames, roi_t, mean, percentile, max, spectrum, difference
+    assert p.decode_nodes == 1 and len(p.graph.nodes) == 13
     assert p.plan_id == engine.plan(requests(), media).plan_id and "decode" in p.explain()
     out = engine.generate(requests(), media)
     assert [d.count() for d in out] == [640, 640, 1024, 30, 16, 29 * 1024, 32]
