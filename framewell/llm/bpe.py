@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mixed, raw_file, runs_to_index, text_parts, words8
+from .common import mixed, raw_file, runs_to_index, text_parts, trimmed, words8
 
 #: Distinct pieces that a worker remembers; beyond it the memo starts anew.
 MEMO = 1_000_000
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(off) - 1), pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(ids.astype(np.int32)))], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(step, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(step), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -341,7 +341,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "bytes"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(step, f"`{id_col}` {kind}, bytes binary")
+    return encoded.select(id_col, ids_col).mapInArrow(trimmed(step), f"`{id_col}` {kind}, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,4 +370,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(step, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(step), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

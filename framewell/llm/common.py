@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 #: benchmark shard is checked against it before it is broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back.
+
+    ``release`` has the driver collect its garbage, after which the shuffle files of finished
+    jobs go, instead of half an hour later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framewell/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,6 +59,59 @@ def raw_file(path: str) -> bytes:
     return data
 
 
+def fresh(name: str, columns) -> str:
+    """``name``, or with underscores before it, so that no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def repeated_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether an id occurs more than once."""
+    return docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count() > 0
+
+
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` (doc_id, text and others) with a column ``name`` that identifies a row's id and text.
+
+    It is the id where no id repeats, else a number in order of id and text hash, so that
+    different texts of one id are documents of their own and rows equal in both are one.
+    Rows without an id have none.
+    """
+    if not repeated_ids(docs):
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    digest = fresh("_hash", docs.columns)
+    own = docs.withColumn(digest, F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    pairs = own.where("doc_id is not null").select("doc_id", digest).distinct()
+    order = [F.col("doc_id").cast("long"), F.col(digest)]
+    pairs = written(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "rows")
+    return own.join(pairs, ["doc_id", digest], "left").select(*docs.columns, name)
+
+
+def release() -> None:
+    """Give memory that was freed back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(step):
+    """``step`` over record batches for ``mapInArrow``: a reused Python worker keeps no freed memory from batch to batch."""
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                release()
+
+        yield from step(each())
+        release()
+
+    return run
+
+
 def hex_sha256(col):
     return F.sha2(col.cast("binary"), 256)
 
@@ -109,35 +169,83 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-_STEP = 0x9E3779B97F4A7C15
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+#: The prime 2^61 - 1 and the base of the polynomials.
+_PRIME, _BASE = (1 << 61) - 1, 0x1D8AF066E5A3C1B7
+_P = np.uint64(_PRIME)
+#: Units summed before a running sum is reduced: it stays under 64 bits, and its arrays in the cache.
+_RUN = 1 << 17
+_powers_of: dict[int, np.ndarray] = {}
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime."""
+    low, shift = np.uint64((1 << 31) - 1), np.uint64(31)
+    ah, al, bh, bl = a >> shift, a & low, b >> shift, b & low
+    mid = ah * bl + al * bh
+    return reduced(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << shift) + al * bl)
+
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(M^i, M^-i) modulo 2^64 for i below n at least."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        n = 1 << max(16, (n - 1).bit_length())
-        out = []
-        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[:] = [tuple(out)]
-    return _POWERS[0]
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^i modulo the prime for i below n at least."""
+    out = _powers_of.get(base)
+    if out is None or len(out) < n:
+        out = np.ones(1, np.uint64)
+        while len(out) < max(n, 1 << 16):
+            out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), _PRIME)))])
+        _powers_of[base] = out
+    return out
 
 
 class SliceHash:
-    """64-bit hashes of any slices of an array of bytes or of hashes, from one running sum."""
+    """64-bit hashes of any slices of an array of bytes or of hashes, from one running sum.
+
+    A slice's hash is a polynomial in its units modulo the prime, mixed with its length:
+    modulo a power of two, complementary Thue-Morse words would agree whatever the base.
+    """
 
     def __init__(self, units: np.ndarray):
         n = len(units)
-        self.up, self.down = _powers(n + 1)
+        up, low = _powers(_BASE, n + 1), np.uint64(0xFFFFFFFF)
+        self.down = _powers(pow(_BASE, -1, _PRIME), n + 1)
         self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE[units] if units.dtype == np.uint8 else units) * self.up[:n], out=self.sum[1:])
+        for at in range(0, n, _RUN):
+            u = units[at : at + _RUN]
+            p = up[at : at + len(u)]
+            if u.dtype == np.uint8:
+                u = u.astype(np.uint64) + np.uint64(1)
+                a, b = np.cumsum((p & low) * u), np.cumsum((p >> np.uint64(32)) * u)
+            else:
+                p = times(p, reduced(u))
+                a, b = np.cumsum(p & low), np.cumsum(p >> np.uint64(32))
+            # b times 2^32 is a rotation of 61 bits
+            b = reduced(b)
+            b = ((b & np.uint64((1 << 29) - 1)) << np.uint64(32)) | (b >> np.uint64(29))
+            self.sum[at + 1 : at + 1 + len(u)] = reduced(reduced(a) + b + self.sum[at])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sum[end] - self.sum[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+        value = times(reduced(self.sum[end] + (_P - self.sum[start])), self.down[start])
+        return mixed(value + (end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+
+def gram_hashes(units: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` units from each place, built by doubling; cheap, good to choose places by, not to prove equality."""
+    wide, have = (words8(units), 8) if units.dtype == np.uint8 and size >= 8 else (units.astype(np.uint64), 1)
+    n = max(len(units) - size + 1, 0)
+    if not n:
+        return np.empty(0, np.uint64)
+    wide = wide[: len(units) - have + 1]
+    while have < size:
+        step = min(have, size - have)
+        left, right = wide[:-step], wide[step:]
+        wide = (left ^ (left >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25) + right * np.uint64(0xE7037ED1A0B428DB)
+        have += step
+    return mixed(wide[:n])
 
 
 def word_slices(b: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

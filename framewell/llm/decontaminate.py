@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SliceHash, mixed, runs_to_index, text_parts, word_slices, written
+from .common import CHUNK_BYTES, SliceHash, mixed, runs_to_index, text_parts, trimmed, word_slices, written
 
 SHARD_BYTES = 8 << 20
 #: Share of an item's own score that a passage must reach, and of question and answer n-grams that it must hold.
@@ -49,12 +49,12 @@ K1, B, BLOCK = 1.2, 0.75, 4
 #: Words of the shortest length class; hash buckets from which a shard is put together.
 LEAST, BUCKETS = 64, 16
 #: Bound that a passage's commonest words may leave unlooked-up; (passage, block) sums held at once.
-REST, HELD = 0.25, 4 << 20
+REST, HELD = 0.25, 1 << 20
 _ANSWER_MARK = re.compile(r"(?im)^\s*a(?:nswer)?\s*:")
 _SENTENCE_END = re.compile(r"[.!?]+[\s\"')\]]*")
 
 
-def word_hashes(texts: pa.Array, limit: int = 4 << 20):
+def word_hashes(texts: pa.Array, limit: int = CHUNK_BYTES):
     """(first row, word hashes end to end, word offsets of the texts) in parts; words are lower-cased runs of letters and digits."""
     from .bpe import LETTER, NUMBER, byte_classes
 
@@ -284,7 +284,7 @@ def shards(benchmark: DataFrame) -> Iterator[Shard]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), pa.array(np.ones(pairs.shape[1], np.int64))], ["term", "n"])
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([len(words)])], ["term", "n"])
 
-    counts = items.select("text").mapInArrow(terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = items.select("text").mapInArrow(trimmed(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     groups: list[list[int]] = [[]]
     if many > 1:
         counts, filled = written(counts, "terms"), 0
@@ -301,7 +301,7 @@ def shards(benchmark: DataFrame) -> Iterator[Shard]:
         rows = own.orderBy("item_id", "text").collect()
         df = counts.where("term is not null")
         if many > 1:
-            df = df.join(own.select("text").mapInArrow(terms, "term long, n long").select("term").distinct(), "term")
+            df = df.join(own.select("text").mapInArrow(trimmed(terms), "term long, n long").select("term").distinct(), "term")
         yield Shard([r["item_id"] for r in rows], [r["text"] for r in rows], {r["term"]: r["n"] for r in df.collect()}, n, mean)
 
 
@@ -331,7 +331,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         cols = zip(*found.values(), strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(off) - 1).take(rows), pa.array([sent.value.id_of(c, i) for _, c, i in found], pa.int64()), *(pa.array(c, pa.float64()) for c in cols)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(step), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         part = written(part, "hits") if more else part
         out = part if out is None else out.unionByName(part)
     return out
@@ -349,6 +349,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[at + t for t, *_ in sent.value.matches(words, off)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(step, docs.schema)
+        docs = docs.mapInArrow(trimmed(step), docs.schema)
         docs = written(docs, "clean") if more else docs
     return docs

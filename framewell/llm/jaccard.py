@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SliceHash, components, mixed, runs_to_index, text_parts, word_slices, written
+from .common import SliceHash, components, mixed, repeated_ids, runs_to_index, text_parts, trimmed, word_slices, written
 
 #: Classes and bytes of text in one block of a candidate group.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]).astype(np.int32)), pa.array(sig[~empty].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(off) - 1), pa.array(digest, pa.binary()), pa.array(np.diff(off)), lists], ["doc_id", "text_hash", "n_bytes", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, "doc_id long, text_hash binary, n_bytes long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(step), "doc_id long, text_hash binary, n_bytes long, bands array<long>")
 
 
 def _linked(sets: list[np.ndarray], cross: int | None, numerator: int, denominator: int):
@@ -177,11 +177,8 @@ def join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), re
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     members = members.select(F.col("node").alias("doc_id"), "root", "copies", "block", F.explode(both).alias("p")).select("doc_id", "root", "copies", "block", "p.i", "p.j")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # of repeated ids the row that the sketch took
-        texts = texts.groupBy("doc_id").agg(F.collect_set(F.coalesce("text", F.lit(""))).alias("t")).join(found.select("doc_id", "text_hash"), "doc_id")
-        texts = texts.select("doc_id", F.explode("t").alias("text"), "text_hash")
-        texts = _of_hash(texts)
+    if repeated_ids(texts):  # the row that the sketch took stands for its id
+        texts = _hashed(texts).join(found.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).groupBy("doc_id").agg(F.first("text").alias("text"))
     work = texts.join(members, "doc_id")
 
     def verify(key, group):
@@ -216,12 +213,12 @@ def join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), re
     return found.select("doc_id", "text_hash").join(classes, "text_hash").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
 
 
-def _of_hash(texts: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, text_hash) whose text has that hash."""
+def _hashed(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, text) with the text hash of the sketch."""
 
     def step(batches):
         for batch in batches:
-            own = [hashlib.blake2b(t.encode(), digest_size=16).digest() == h for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(own, pa.bool_())).select([0, 1])
+            digest = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.binary())], ["doc_id", "text", "text_hash"])
 
-    return texts.mapInArrow(step, "doc_id long, text string")
+    return texts.mapInArrow(trimmed(step), "doc_id long, text string, text_hash binary")

@@ -10,9 +10,10 @@ stretch. Where a seed has very many different stretches, their windows are count
 the shuffle and dealt out one by one.
 
 Defined results: a word is a maximal run without ASCII white space; null texts have no
-words; windows never cross documents; rows that share a doc_id are taken for copies of
-one document, which recur if there are several; rows without a doc_id are kept whole; an
-empty table gives an empty table; other columns are ignored.
+words; windows never cross documents; different texts of one doc_id are documents of their own,
+and rows equal in id and text are copies, whose windows recur; rows without a doc_id are
+kept whole and make no other go; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SliceHash, partitions, word_slices, written
+from .common import SliceHash, numbered, partitions, trimmed, word_slices, written
 from .suffixes import _spans, with_spans
 from .windows import repeated
 
@@ -39,7 +40,7 @@ MANY = 2_000
 
 def words_as_units(b: np.ndarray, off: np.ndarray):
     start, end, first = word_slices(b, off, (b == 0x20) | (b >= 0x09) & (b <= 0x0D))
-    return SliceHash(SliceHash(b).of(start, end)), first
+    return SliceHash(b).of(start, end), first
 
 
 def locate(segments: list[tuple[list[str], int]], length: int) -> list[list[tuple[int, int]]]:
@@ -129,7 +130,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "content", "at", "windows", "n", "many")).alias("wants"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    return own.join(lists, "doc_id").select("text", "wants").mapInArrow(step, "seed long, content long, copies long, many boolean, shift int, segment string")
+    return own.join(lists, "doc_id").select("text", "wants").mapInArrow(trimmed(step), "seed long, content long, copies long, many boolean, shift int, segment string")
 
 
 def _rows(out, names):
@@ -138,19 +139,19 @@ def _rows(out, names):
 
 
 def recurring(docs: DataFrame, length: int = 35, seed: int = 12) -> DataFrame:
-    """(doc_id, from, to): word spans of ``docs`` covered by windows that occur elsewhere too."""
+    """(doc_id, from, to): word spans of ``docs``, where an id has one text, covered by windows that occur elsewhere too."""
     spark = docs.sparkSession
     found = repeated(docs, words_as_units, length, seed)
     first = found.groupBy("seed", "content").agg(F.min(F.struct("doc_id", "at", "windows")).alias("x"), F.count(F.lit(1)).alias("n"))
-    first = written(first.select("seed", "content", "x.*", "n"), "first")
+    first = written(first.select("seed", "content", "x.*", "n"), "first", release=True)
     many = first.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > MANY).select("seed", F.lit(True).alias("many"))
     wanted = first.join(many, "seed", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    parts = written(_segments(docs, wanted, length), "segments")
+    parts = written(_segments(docs, wanted, length), "segments", release=True)
     plain = parts.where("not many").select(F.col("seed").alias("key"), F.col("seed").alias("id1"), F.col("content").alias("id2"), "copies", "segment")
     ids = [F.xxhash64("segment").alias("id1"), F.xxhash64(F.lit(1), "segment").alias("id2")]
     single = parts.where("many").groupBy("segment").agg(F.sum("copies").alias("copies")).select(ids[0].alias("key"), *ids, "copies", "segment")
     shards = plain.unionByName(single).repartition(partitions(spark), "key").sortWithinPartitions("key")
-    located = written(shards.mapInArrow(lambda batches: _shard(batches, length), "id1 long, id2 long, first int, last int"), "located")
+    located = written(shards.mapInArrow(trimmed(lambda batches: _shard(batches, length)), "id1 long, id2 long, first int, last int"), "located", release=True)
     spread = parts.where("many").select("seed", "content", "shift", *ids).join(located, ["id1", "id2"]).select("seed", "content", F.col("shift").alias("first"), (F.col("shift") + 1).alias("last"))
     every = located.select(F.col("id1").alias("seed"), F.col("id2").alias("content"), "first", "last").unionByName(spread)
     return found.join(every, ["seed", "content"]).select("doc_id", (F.col("at") + F.col("first")).alias("from"), (F.col("at") + F.col("last") + (length - 1)).alias("to"))
@@ -173,5 +174,6 @@ def digests(docs: DataFrame, length: int = 35) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(own, recurring(own, length)).mapInArrow(step, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    spans = recurring(own.select(F.col("row").alias("doc_id"), "text"), length)
+    return with_spans(own, spans, "row").select("doc_id", "text", "spans").mapInArrow(trimmed(step), "doc_id long, n_words long, n_removed long, kept_sha256 string")

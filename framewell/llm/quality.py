@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Most labelled rows that a model is fitted on.
 FIT_ROWS = 20_000
 FEATURES = (
@@ -187,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["y", "x"])
 
     # at most ``rows`` pairs of numbers are broadcast, and as many feature rows are collected
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(step, "y double, x array<double>").toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(trimmed(step), "y double, x array<double>").toPandas()
     if not len(found):
         return Model()
     x = np.array(found["x"].tolist())
@@ -211,19 +213,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     names = docs.columns
     text = names.index("text")
-    return docs.mapInArrow(step, StructType([*kept]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return docs.mapInArrow(trimmed(step), StructType([*kept]).add("score", DoubleType()).add("predicted", IntegerType()))
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     model = train(docs, labels)
-    text = docs.columns.index("text")
 
     def step(batches):
         for batch in batches:
             s = model.scores(measure_all(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.3).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    assert text >= 0
-    out = docs.select("doc_id", "text").mapInArrow(step, "doc_id long, score double, predicted int")
+    out = docs.select("doc_id", "text").mapInArrow(trimmed(step), "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -3,16 +3,18 @@
 Windows can repeat only where their seeds do (``windows``), so suffixes are taken at the
 repeated seeds. Stretches of equal content are one; of the others, whose windows may be
 equal in part, the suffixes at the seed (for some very common seeds, the reversed prefixes)
-are range-partitioned by their leading bytes (Spark samples the splitters), each bucket
-sorts its windows by multikey quicksort, eight bytes at a time, and marks all but the
-earliest of each run of equal windows. A window can have an equal in another bucket only
-within the bytes that its suffix shares with its bucket's first or last; such windows are
-compared across boundaries by a second grouping on whole windows.
-
-Defined results: null and empty texts and texts under ``length`` bytes lose nothing; rows
-that share a doc_id are taken for the same document, of which neither is earlier; rows
-without a doc_id are kept whole and make no other go; an empty table gives an empty
-table; other columns are ignored.
+are range-partitioned by their leading bytes (Spark samples the splitters) and sorted; a task
+cuts its part of the order into buckets of ``BUCKET`` suffixes, sorts the windows of each
+by multikey quicksort, eight bytes at a time, and marks all but the earliest of each run
+of equal windows. A window can have an equal in another bucket only within the bytes that
+its suffix shares with its bucket's first or last; such windows are compared across
+boundaries, in a task or between tasks, by a second grouping on whole windows.
+
+Defined results: null and empty texts and texts under ``length`` bytes lose nothing;
+different texts of one doc_id are documents of their own, the one of lesser hash the
+earlier; rows equal in id and text are one document, and lose the same bytes; rows without
+a doc_id are kept whole and make no other go; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SliceHash, partitions, runs_to_index, words8, written
+from .common import fresh, numbered, partitions, runs_to_index, trimmed, words8, written
 from .windows import repeated
 
 #: Stretches of a bucket; different stretches of a seed above which its better side is looked for.
@@ -32,7 +34,7 @@ BUCKET, MANY = 20_000, 20
 
 
 def bytes_as_units(b: np.ndarray, off: np.ndarray):
-    return SliceHash(b), off
+    return b, off
 
 
 def equal_runs(words: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +69,26 @@ def _runs(doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return doc[first], at[first], at[last] + length
 
 
+def _buckets(batches, length: int, seed: int):
+    """Cut sorted rows into buckets of at most ``BUCKET`` rows and work through them one by one."""
+    held, rows = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, BUCKET - rows)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            rows += part.num_rows
+            if rows == BUCKET:
+                yield from _bucket(held, length, seed)
+                held, rows = [], 0
+    if held:
+        yield from _bucket(held, length, seed)
+
+
 def _bucket(batches, length: int, seed: int):
-    """Sort one bucket; yields covered spans, and the windows of its first and last seed."""
-    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    """Sort one bucket; yields covered spans, and the windows that may have an equal in a neighbouring bucket."""
     names = ["doc_id", "from", "to", "window"]
-    if not tables:
-        return
-    t = pa.concat_tables(tables).combine_chunks()
+    t = pa.Table.from_batches(batches).combine_chunks()
     doc, at, windows, place = (t[c].to_numpy() for c in ("doc_id", "at", "windows", "place"))
     size = windows.astype(np.int64) + length - 1
     data = t["stretch"].combine_chunks()
@@ -119,10 +134,10 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def covered(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
-    """(doc_id, from, to): byte spans of ``docs`` covered by windows that start earlier too."""
+    """(doc_id, from, to): byte spans of ``docs``, where an id has one text, covered by windows that start earlier too."""
     spark = docs.sparkSession
     found = repeated(docs, bytes_as_units, length, seed)
-    first = written(found.groupBy("seed", "content").agg(F.min(F.struct("doc_id", "at", "windows", "place")).alias("x"), F.count(F.lit(1)).alias("n")), "first")
+    first = written(found.groupBy("seed", "content").agg(F.min(F.struct("doc_id", "at", "windows", "place")).alias("x"), F.count(F.lit(1)).alias("n")), "first", release=True)
     # later stretches of equal content are covered whole
     several = first.where("n > 1").select("seed", "content", F.col("x.doc_id").alias("d0"), F.col("x.at").alias("a0"))
     span = [F.col("doc_id"), F.col("at").alias("from"), (F.col("at") + F.col("windows") + (length - 1)).alias("to")]
@@ -132,16 +147,15 @@ def covered(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
     some = first.join(mixed, "seed").select("seed", "k", "x.*")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
     some = some.join(texts, "doc_id").select("seed", "k", "doc_id", "at", "windows", "place", F.substring(F.col("b"), F.col("at") + 1, F.col("windows") + (length - 1)).alias("stretch"))
-    some = written(some, "suffixes")
-    n = max(partitions(spark), -(-some.count() // BUCKET))
+    some = written(some, "suffixes", release=True)
     seed_bytes, right = F.substring(F.col("stretch"), F.col("place") + 1, F.lit(seed)), F.substring(F.col("stretch"), F.col("place") + 1 + seed, F.lit(length))
     back = F.unhex(F.reverse(F.hex(F.substring(F.col("stretch"), F.lit(1), F.col("place")))))
     # a seed with many stretches is sorted on the side where they differ more, so a boundary within it shares little
     side = some.where(F.col("k") > MANY).groupBy("seed").agg((F.approx_count_distinct(F.substring(back, 1, 16)) > F.approx_count_distinct(F.substring(right, 1, 16))).alias("leftwards"))
     some = some.join(side, "seed", "left").withColumn("leftwards", F.coalesce("leftwards", F.lit(False)))
     some = some.withColumn("key", F.concat(seed_bytes, F.when(F.col("leftwards"), back).otherwise(right)))
-    dealt = some.repartitionByRange(n, "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at").select("doc_id", "at", "windows", "place", "stretch", "key", "leftwards")
-    marked = written(dealt.mapInArrow(lambda batches: _bucket(batches, length, seed), "doc_id long, `from` int, `to` int, window binary"), "marked")
+    dealt = some.repartitionByRange(partitions(spark), "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at").select("doc_id", "at", "windows", "place", "stretch", "key", "leftwards")
+    marked = written(dealt.mapInArrow(trimmed(lambda batches: _buckets(batches, length, seed)), "doc_id long, `from` int, `to` int, window binary"), "marked", release=True)
     edge = marked.where("window is not null")
     least = edge.groupBy("window").agg(F.min(F.struct("doc_id", "from")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
     across = edge.join(least, "window").where((F.col("doc_id") != F.col("x.doc_id")) | (F.col("from") != F.col("x.from")))
@@ -159,10 +173,11 @@ def _spans(flat, n: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Add ``spans``, all spans of the row's document; a document's spans are bounded by its length."""
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    return docs.join(lists, "doc_id", "left")
+def with_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", name: str = "spans") -> DataFrame:
+    """Add ``name``, all spans of the row whose ``key`` is their doc_id; a document's spans are bounded by its length."""
+    own = fresh("_doc", docs.columns)
+    lists = spans.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("from", "to")).alias(name))
+    return docs.join(lists, docs[key] == lists[own], "left").drop(own)
 
 
 def digests(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -183,8 +198,9 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(own, covered(own, length)).mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    spans = covered(own.select(F.col("row").alias("doc_id"), "text"), length)
+    return with_spans(own, spans, "row").select("doc_id", "text", "spans").mapInArrow(trimmed(step), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_text(text: str, flat) -> str:

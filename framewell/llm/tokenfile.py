@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, raw_file
+from .common import partitions, raw_file, trimmed
 
 SAMPLE = 256
 MAGIC = b"FWTK\x01"
@@ -291,7 +291,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = ["id", F.xxhash64("text"), "text"]
     rows = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
-    rows.mapInArrow(step, "part int, block int, n_ids long, data binary").write.option("compression", "none").parquet(path)
+    rows.mapInArrow(trimmed(step), "part int, block int, n_ids long, data binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, per_block, schema: str) -> DataFrame:
@@ -312,7 +312,7 @@ def read(spark: SparkSession, path: str, per_block, schema: str) -> DataFrame:
                 b = Block(data.as_buffer())
                 yield per_block(b, base[part] + b.before)
 
-    return blocks.select("part", "data").mapInArrow(step, schema)
+    return blocks.select("part", "data").mapInArrow(trimmed(step), schema)
 
 
 def spans(b: Block, before: int) -> pa.RecordBatch:

@@ -172,7 +172,8 @@ def test_wand_is_bm25(spark):
     vocab = [f"w{i}" for i in range(60)]
     items = {i: " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(3, 20))) + "? " + rnd.choice(vocab) for i in range(150)}
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    (index,) = d.indexes(b)
+    (shard,) = d.shards(b)
+    (index,) = shard.classes
     for _ in range(200):
         q = [rnd.choice(vocab) for _ in range(rnd.randrange(1, 25))]
         terms = np.unique(np.searchsorted(index.terms, d._hashed([" ".join(q)])[0]))
@@ -202,6 +203,55 @@ def test_decontamination(spark, empty):
     assert d.question_and_answer("One two. Three.") == ("One two. ", "Three.")
 
 
+def brute_hits(rows, items):
+    """Every passage of every document against every item, by plain loops: (doc_id, item_id) -> score."""
+    from framewell.llm.decontaminate import question_and_answer
+
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+
+    def share(part, passage):
+        n = max(1, min(5, len(part)))
+        grams = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)} if part else set()
+        own = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
+        return len(grams & own) / len(grams) if grams else 1.0
+
+    out = {}
+    for i, t in rows:
+        words = cut(t)
+        for size in (64 << k for k in range(8)):
+            own = {j: x for j, x in items.items() if len(cut(x)) <= size and (size == 64 or len(cut(x)) > size // 2)}
+            for at in range(0, max(len(words) - size, 1), size) if own else ():
+                passage = words[at : at + 2 * size]
+                for j, s in brute_bm25(items, passage).items():
+                    if j in own and s >= 0.5 and all(share(cut(p), passage) >= 0.5 for p in question_and_answer(items[j])):
+                        out[i, j] = max(s, out.get((i, j), 0))
+    return out
+
+
+def test_decontamination_is_brute_force_in_any_shards(spark, monkeypatch):
+    """Items of very different lengths, whole and in part; the same whatever else is in a shard."""
+    from framewell.llm import decontaminate as d
+
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = {i: f"{prose(rnd.randrange(4, 50))}? {prose(rnd.randrange(1, 4))}." for i in range(25)} | {50: f"{prose(90)}? yes indeed", 51: f"{prose(1000)}? no never", 52: "why? so", 53: ""}
+    items[7] = f"{prose(30)}? certain words"
+    rows = [(i, f"{prose(rnd.randrange(200))} {items[i] if i % 3 else items[i][: len(items[i]) * 2 // 3]} {prose(rnd.randrange(200))}") for i in range(25)]
+    far = items[7].split("? ")
+    rows += [(100, f"{far[0]}? {prose(900)} {far[1]}"), (101, items[51]), (102, f"{prose(300)} {items[50]} {prose(30)}"), (103, None), (104, items[51][:2000]), (105, " ".join(items.values()))]
+    want = brute_hits(rows, items)
+    assert (100, 7) not in want and (101, 51) in want and (102, 50) in want and len(want) > 15
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([*items.items(), *items.items()], "item_id long, text string").withColumn("doc_id", d.F.lit("x"))
+    for size in (8 << 20, 2000):
+        monkeypatch.setattr(d, "SHARD_BYTES", size)
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in d.hits(docs, b).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    kept = sorted(r["doc_id"] for r in d.clean(docs.withColumn("item_id", d.F.lit(1)), b).collect())
+    assert kept == sorted(i for i, _ in rows if all(i != k for k, _ in want))
+
+
 def brute_bytes(rows, length):
     first, out = {}, {}
     for i, t in sorted((r[0], r[1] or "") for r in rows):
@@ -226,9 +276,8 @@ def test_suffix_dedup(spark, docs, empty, bucket, monkeypatch):
 
 
 def test_suffix_dedup_with_common_seeds(spark, monkeypatch):
-    from framewell.llm import suffixes, windows
+    from framewell.llm import suffixes
 
-    monkeypatch.setattr(windows, "SAMPLE", 1)
     rnd = random.Random(9)
     line = " ".join(f"common{i}" for i in range(12))
     rows = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randrange(150))) + line[: rnd.randrange(30, len(line))] + "".join(rnd.choice("ab ") for _ in range(rnd.randrange(120))), "", "", 0) for i in range(150)]
@@ -349,6 +398,37 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert tokenfile.offsets(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_words_encode_as_the_library_does(monkeypatch):
+    """Strings of characters that splitting and lower-casing treat in different ways, against the library."""
+    from framewell.llm import tokenfile
+
+    raw = open(P.path("word_bpe_49k.json"), "rb").read()
+    enc, rnd = tokenfile.WordEncoder(raw, 2), random.Random(11)
+    odd = "İ\u095c\u09dc\ufb1d\u0307\u0301\u0345ßΣσςǅΩⓐªº²①٣日本\uac00\u1100\u1161\u11a8\U00031350\U00010d4a\u2126\u212a\u00b5_'’-…#<|>\U0001f600"
+    pick = lambda: rnd.choice([odd, "abcXYZ", ",.;:!?", " \n\x85\u2003\x1c", "'s't", "<|endoftext|>" if rnd.random() < 0.05 else "e"])
+    texts = ["".join(rnd.choice(pick()) for _ in range(rnd.randrange(1, 30))) for _ in range(4000)] + ["GAZİ, İ.İ. x<|endoftext|>, <|startoftext|>.", ""]
+    want = [np.array(e.ids, enc.kind).tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.by_word and enc.by_mark
+    for _ in range(2):  # with an empty memo and a full one
+        assert enc.encode(texts) == want
+    monkeypatch.setattr(tokenfile, "MEMO", 100)  # the memo starts anew again and again
+    again = tokenfile.WordEncoder(raw, 2)
+    assert [again.encode([t])[0] for t in texts[:500]] == want[:500]
+
+
+def test_blocks_of_any_ids():
+    """The least and the greatest id of all, repeated ids, and none."""
+    from framewell.llm import tokenfile as t
+
+    low, high = -(1 << 63), (1 << 63) - 1
+    for names in ([low], [low, low, -1, 0, high], [high], [5, 5]):
+        ids = np.arange(len(names), dtype="<u2")
+        block = t.Block(t.pack(np.array(names, np.int64), np.ones(len(names), np.int64), ids.tobytes(), 2, 0))
+        assert block.doc_ids().to_pylist() == names
+        assert (block.names.all() + np.int64(names[0]).view(np.uint64)).view(np.int64).tolist() == names
+    assert t.Block(t.pack(None, np.ones(3, np.int64), ids.tobytes(), 2, 0)).doc_ids().to_pylist() == [None] * 3
+
+
 def test_letters_that_become_marks():
     """Letters that the normalizer takes apart stay with the punctuation after them."""
     from framewell.llm import tokenfile
@@ -480,3 +560,73 @@ def test_pipeline_judges_each_text_of_an_id(spark):
     got = p.suffix_dedup(spark, spark.createDataFrame(rows, DOCS), SF).collect()
     left = [(1, "one " + passage), (2, prose("x", 60)), *[(2, prose(" y", 60).strip())] * 2]
     assert sorted((r["doc_id"], r["text"].strip()) for r in got) == sorted(left) and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def thue_morse(n):
+    """Two complementary words of 2^n letters."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    from framewell.llm.common import _PRIME, SliceHash, gram_hashes, times
+
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse(12))
+    both = np.concatenate([a, b])
+    h = SliceHash(both)
+    n = len(a)
+    x, y = h.of(np.array([0, 0]), np.array([n, n // 2])), h.of(np.array([n, n]), np.array([2 * n, n + n // 2]))
+    assert (x != y).all() and (SliceHash(a).of(np.array([0]), np.array([n])) == x[0]).all()
+    wide = SliceHash(both.astype(np.uint64) * np.uint64(0xABCDEF0123456789))
+    assert wide.of(np.array([0]), np.array([n])) != wide.of(np.array([n]), np.array([2 * n]))
+    rnd = random.Random(4)
+    p, q = [rnd.randrange(_PRIME) for _ in range(500)], [rnd.randrange(_PRIME) for _ in range(500)]
+    assert times(np.array(p, np.uint64), np.array(q, np.uint64)).tolist() == [i * j % _PRIME for i, j in zip(p, q, strict=True)]
+    units = np.frombuffer(b"abcabcabcabcabcabcabcabcabcabcabcab" * 3, np.uint8)
+    for size in (1, 3, 8, 12, 32):
+        for u in (units, units.astype(np.uint64)):
+            g = gram_hashes(u, size)
+            words = [bytes(units[i : i + size]) for i in range(len(units) - size + 1)]
+            assert len(g) == len(words) and len(set(g.tolist())) == len(set(words))
+
+
+def test_words_that_only_a_weak_hash_takes_for_equal(spark):
+    from framewell.llm import jaccard, phrases
+
+    a, b = thue_morse(10)
+    tail = [f"w{i}" for i in range(44)]
+    rows = [(1, " ".join([a, *tail[:22], a, *tail[22:]]), "", "", 0), (2, " ".join([b, *tail[:22], b, *tail[22:]]), "", "", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in by_id(phrases.digests(d)).items()} == brute_phrases(rows, 35)
+    assert {k: (r["class_id"], r["n_links"]) for k, r in by_id(jaccard.join(d)).items()} == brute_jaccard(rows)
+
+
+def test_one_seed_many_times_in_one_document(spark):
+    """A line repeated 10^5 times in a document, and a passage shared with another."""
+    from framewell.llm import phrases, suffixes
+
+    line = "the same line over and over again, twelve words of it\n"
+    odd = " ".join(f"odd{i}" for i in range(40))
+    rows = [(1, line * 100_000 + odd, "", "", 0), (2, "begin " + odd + " end", "", "", 0), (3, "nothing", "", "", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = by_id(suffixes.digests(d))
+    period, m = len(line), len(line) * 100_000
+    assert (got[1]["n_removed"], got[1]["n_spans"]) == (m - period, 1) and got[1]["kept_sha256"] == sha(line + odd)
+    assert got[2]["kept_sha256"] == sha("begin  end") and got[2]["n_removed"] == len(odd)
+    assert got[3]["n_removed"] == 0
+    words = by_id(phrases.digests(d))
+    assert {k: (r["n_words"], r["n_removed"]) for k, r in words.items()} == {1: (11 * 100_000 + 40, 11 * 100_000 + 40), 2: (42, 40), 3: (1, 0)}
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    from framewell.llm import phrases, suffixes
+
+    prose = " ".join(f"p{i}" for i in range(90))
+    rows = [(1, "short text of 25 letters.", "", "", 0), (1, prose + " a", "", "", 0), (2, prose + " b", "", "", 0), (2, "another", "", "", 0), (2, "another", "", "", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    left = {r["kept_sha256"]: r["n_removed"] for r in suffixes.digests(d).collect()}
+    assert left[sha("short text of 25 letters.")] == 0 and left[sha(prose + " a")] == 0 and left[sha("b")] == len(prose) + 1 and left[sha("another")] == 0
+    words = sorted((r["n_words"], r["n_removed"]) for r in phrases.digests(d).collect())
+    assert words == [(1, 0), (1, 0), (5, 0), (91, 90), (91, 90)]
