@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..errors import require
 from ..functions import color
@@ -19,9 +20,9 @@ from .sampling import CHANNELS, Rect, crop
 REDUCTIONS = ("mean", "min", "max", "median", "std", "rms", "percentile", "diff")
 
 
-def moment(name: str, c: str) -> Column:
-    """A streaming reduction of a whole-number column; population standard deviation."""
-    v = F.col(c).cast("bigint")
+def moment(df: DataFrame, name: str, c: str) -> Column:
+    """A streaming reduction of a column of ``df``, with sums that are exact for whole numbers; population standard deviation."""
+    v = F.col(c).cast("bigint" if isinstance(df.schema[c].dataType, IntegralType) else "double")
     n = F.count(c)
     mean = F.sum(v) / n
     return {
@@ -55,7 +56,7 @@ def reduce_by(df: DataFrame, by: Sequence[str], name: str, columns: Sequence[str
     if name in ("median", "percentile"):
         return percentiles(df, by, columns, 50.0 if name == "median" else percentile)
     require(name != "diff", "OPERATOR_CONFIG_INVALID", "diff is over time")
-    return df.groupBy(*by).agg(*[moment(name, c).alias(c) for c in columns])
+    return df.groupBy(*by).agg(*[moment(df, name, c).alias(c) for c in columns])
 
 
 def roi_t(px: DataFrame, rect: Rect, name: str, percentile: float | None = None) -> DataFrame:
@@ -88,7 +89,7 @@ def region_stats(px: DataFrame, rect: Rect | None = None) -> DataFrame:
     full = px.withColumn("_hsv", color.hsv(*map(F.col, CHANNELS))).withColumn("_lab", color.lab(*map(F.col, CHANNELS))).withColumn("_l", color.luminance(*map(F.col, CHANNELS)))
     stats = full.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pixel_count"),
-        *[moment(n, c).alias(f"{n}_{c}") for n in ("mean", "min", "max", "std") for c in CHANNELS],
+        *[moment(px, n, c).alias(f"{n}_{c}") for n in ("mean", "min", "max", "std") for c in CHANNELS],
         *[F.avg(f"_hsv.{c}").alias(f"mean_{n}") for c, n in (("h", "hue"), ("s", "saturation"), ("v", "value"))],
         *[F.avg(f"_lab.{c}").alias(f"mean_lab_{c}") for c in "lab"],
         F.avg("_l").alias("mean_luminance"),

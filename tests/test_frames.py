@@ -371,3 +371,14 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert [r["frame"] for r in got if r["flags"]] == [5]
     want = {r["frame"]: (r["previous_frame"], r["score"]) for r in change.change_scores(clip).collect()}
     assert {r["frame"]: (r["previous_frame"], pytest.approx(r["score"])) for r in got if not r["flags"]} == want
+
+
+def test_reductions_of_fractions_and_probes_before_the_first_frame(spark):
+    from framewell.operators import aggregate, lookup
+
+    px = spark.createDataFrame([("m", 0, 0, k, 0.5 + k, 1.25, 0.0) for k in range(4)], "media_id string, frame int, y int, x int, r double, g double, b double")
+    row = aggregate.reduce_by(px, ["media_id"], "mean").first()
+    assert (row["r"], row["g"]) == (2.0, 1.25) and aggregate.reduce_by(px, ["media_id"], "std").first()["r"] == pytest.approx(1.25**0.5)
+    frames = spark.range(30_000).selectExpr("'m' AS media_id", "id / 10 AS t", "cast(id AS int) AS frame")
+    probes = spark.createDataFrame([("m", 1, -5.0), ("m", 2, 0.05), ("m", 3, 99.9), ("m", 4, 1e9), ("n", 5, 1.0)], "media_id string, probe_id long, at double")
+    assert {r["probe_id"]: r["frame"] for r in lookup.as_of(frames, probes).collect()} == {1: 0, 2: 0, 3: 999, 4: 29_999, 5: None}
