@@ -1,9 +1,11 @@
 """Chat formatting of reply trees.
 
-Messages name their parent. Iterative self-joins by doubling (each message's path so far
-is joined to the path of the message where it ends) give every message its path to the
-root in about log2(depth) joins of ids; texts join once at the end. Each leaf is a branch;
-branches of a tree are ranked by score and the best ``keep`` are formatted.
+Messages name their parent. Iterative self-joins by doubling (each message's ancestor so far
+is joined to the row of that ancestor) give every message its depth and the sum of scores
+up to the root in about log2(depth) joins of ids. Each leaf is a branch; branches of a tree
+are ranked by score. Only the best ``keep`` are walked: the same ancestors, from the
+farthest to the nearest, double a branch's rows until it has one for each message. No row
+holds a path, so a thread costs rows in proportion to its turns. Texts join once at the end.
 
 The template marks a turn as ``### role: text</turn>`` and a newline. Inside roles and
 texts the characters that start a control string are escaped, so no text can imitate one:
@@ -12,19 +14,27 @@ roles also ``:`` as ``c``). ``parse`` and ``unescape`` are the exact inverse.
 
 Defined results: null role and null text are empty; a message whose parent is null or
 absent is a root; messages in or below a cycle reach no root and give no path, nor do
-messages without an id; messages without a tree id are one tree; equal message ids of a tree are one node (the smallest role and text are kept); an empty table
-gives an empty table; other columns are ignored. A conversation is one record: its
+messages without an id; messages without a tree id are one tree; equal message ids of a
+tree are one node, that row of least parent, score, role and text (nulls first); an empty
+table gives an empty table; other columns are ignored. A conversation is one record: its
 formatted text is one row, however long.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import hex_sha256, written
+from .common import trimmed, written
 
 HEAD, END = "### ", "</turn>\n"
+#: The escapes: a code after a backslash and what it stands for.
+_CODE, _RAW = re.compile(r"\\([\\hlc])"), {"\\": "\\", "h": "#", "l": "<", "c": ":"}
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -45,37 +55,56 @@ def unescape(text: Column, role: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), part), "\\")
 
 
-def paths(messages: DataFrame, tree: str = "tree_id", node: str = "message_id", parent: str = "parent_id", score: str = "score", keep: int = 1) -> DataFrame:
-    """(tree, branch, rank, path array<node> from the root, branch_score) of the best ``keep`` branches.
+def _node(parent: str, score: str, *more) -> Column:
+    """The least row of a repeated message: parent ``p``, score ``s`` and what follows."""
+    return F.min(F.struct(F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"), *more))
+
+
+def steps(messages: DataFrame, tree: str = "tree_id", node: str = "message_id", parent: str = "parent_id", score: str = "score", keep: int = 1) -> DataFrame:
+    """(tree, branch, rank, branch_score, turn, node): a row for each message of the best ``keep`` branches, turn 0 the root.
 
     A branch is named by its leaf; its score is the mean score of its messages (null counts
     as 0), ties going to the smaller leaf.
     """
-    m = messages.where(F.col(node).isNotNull()).groupBy(F.struct(F.col(tree).alias("k")).alias("t"), F.col(node).alias("n")).agg(F.min(F.struct(F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))).alias("x")).select("t", "n", "x.p", "x.s")
+    m = messages.where(F.col(node).isNotNull()).groupBy(F.struct(F.col(tree).alias("k")).alias("t"), F.col(node).alias("n")).agg(_node(parent, score).alias("x")).select("t", "n", "x.p", "x.s")
     ids = m.select("t", F.col("n").alias("p"), F.lit(True).alias("known"))
-    m = m.join(ids, ["t", "p"], "left").select("t", "n", F.when(F.col("known"), F.col("p")).alias("up"), F.array("n").alias("seg"), "s")
-    state = written(m, "paths")
+    m = m.join(ids, ["t", "p"], "left").select("t", "n", F.when(F.col("known"), F.col("p")).alias("up"), F.lit(1).cast("long").alias("size"), "s")
+    # size, s: of the messages from n up to, but without, its ancestor up
+    state = written(m, "ancestors")
     parents = state.where(F.col("up").isNotNull()).select("t", F.col("up").alias("n")).distinct()
-    done, open_before = [], None
+    done, jumps, open_before = [], [], None
     while True:
         left = state.where(F.col("up").isNotNull()).count()
         if not left or left == open_before:  # done, or only cycles are left
             break
         open_before = left
-        # trees whose paths all reach a root leave the loop
+        # trees whose messages all reach a root leave the loop
         trees = state.where(F.col("up").isNotNull()).select("t").distinct()
-        done.append(written(state.join(trees, "t", "left_anti"), "paths"))
+        done.append(written(state.join(trees, "t", "left_anti"), "ancestors"))
+        jumps.append(state.where(F.col("up").isNotNull()).select("t", "n", "up"))  # 2 ** len(jumps) turns up
         state = state.join(trees, "t", "left_semi")
-        step = state.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("seg").alias("seg2"), F.col("s").alias("s2"))
+        step = state.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("size").alias("size2"), F.col("s").alias("s2"))
         longer = state.where(F.col("up").isNotNull()).join(step, ["t", "up"])
-        longer = longer.select("t", "n", F.col("up2").alias("up"), F.concat("seg2", "seg").alias("seg"), (F.col("s") + F.col("s2")).alias("s"))
-        state = written(state.where(F.col("up").isNull()).select("t", "n", "up", "seg", "s").unionByName(longer), "paths")
+        longer = longer.select("t", "n", F.col("up2").alias("up"), (F.col("size") + F.col("size2")).alias("size"), (F.col("s") + F.col("s2")).alias("s"))
+        state = written(state.where(F.col("up").isNull()).unionByName(longer), "ancestors")
     for part in done:
         state = state.unionByName(part)
     rooted = state.where(F.col("up").isNull())
-    leaves = rooted.join(parents, ["t", "n"], "left_anti").withColumn("branch_score", F.col("s") / F.size("seg"))
+    leaves = rooted.join(parents, ["t", "n"], "left_anti").withColumn("branch_score", F.col("s") / F.col("size"))
     w = Window.partitionBy("t").orderBy(F.desc("branch_score"), "n")
-    return leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select(F.col("t.k").alias(tree), F.col("n").alias("branch"), "rank", F.col("seg").alias("path"), "branch_score")
+    ranked = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    walk = written(ranked.select("t", F.col("n").alias("branch"), "rank", "branch_score", (F.col("size") - 1).alias("turn"), "n"), "branches")
+    for k, jump in reversed(list(enumerate(jumps))):
+        # every distance below 2 ** (k + 1) is written once as a sum of powers of two
+        both = F.array(F.struct("n", "turn"), F.struct(F.col("up").alias("n"), (F.col("turn") - (1 << k)).alias("turn")))
+        walk = walk.join(jump, ["t", "n"], "left").select("t", "branch", "rank", "branch_score", F.explode(F.filter(both, lambda x: x["n"].isNotNull())).alias("x")).select("t", "branch", "rank", "branch_score", "x.turn", "x.n")
+    return walk.select(F.col("t.k").alias(tree), "branch", "rank", "branch_score", "turn", F.col("n").alias(node))
+
+
+def paths(messages: DataFrame, tree: str = "tree_id", node: str = "message_id", parent: str = "parent_id", score: str = "score", keep: int = 1) -> DataFrame:
+    """``steps`` as one row a branch: (tree, branch, rank, path array<node> from the root, branch_score)."""
+    one = steps(messages, tree, node, parent, score, keep).groupBy(tree, "branch", "rank").agg(F.array_sort(F.collect_list(F.struct("turn", F.col(node).alias("n")))).alias("path"), F.first("branch_score").alias("branch_score"))
+    return one.select(tree, "branch", "rank", F.col("path.n").alias("path"), "branch_score")
 
 
 def format_turns(turns: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -84,12 +113,13 @@ def format_turns(turns: DataFrame, by: list[str], order: str) -> DataFrame:
     ``turns`` has role and text. The mask covers the escaped text of each assistant turn.
     """
     t = turns.select(*by, order, escape(F.coalesce("role", F.lit("")), True).alias("r"), escape(F.coalesce("text", F.lit(""))).alias("x"))
-    g = t.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "r", "x"))).alias("turns"))
-    piece = lambda u: F.concat(F.lit(HEAD), u["r"], F.lit(": "), u["x"], F.lit(END))
-    sized = F.transform("turns", lambda u: F.struct((u["r"] == "assistant").alias("loss"), (F.length(u["r"]) + len(HEAD) + 2).alias("head"), F.length(u["x"]).alias("n"), F.length(piece(u)).alias("all")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    step = lambda acc, u: F.struct((acc["at"] + u["all"]).alias("at"), F.when(u["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + u["head"]).alias("start"), (acc["at"] + u["head"] + u["n"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"))
-    return g.select(*by, F.array_join(F.transform("turns", piece), "").alias("formatted"), F.aggregate(sized, start, step)["spans"].alias("loss_spans"))
+    t = t.withColumn("piece", F.concat(F.lit(HEAD), "r", F.lit(": "), "x", F.lit(END)))
+    before = Window.partitionBy(*by).orderBy(order, "r", "x").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
+    start = F.col("at") + F.length("r") + len(HEAD) + 2
+    span = F.when(F.col("r") == "assistant", F.struct(start.alias("start"), (start + F.length("x")).alias("end")))
+    g = t.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "piece", span.alias("span")))).alias("turns"))
+    return g.select(*by, F.array_join(F.col("turns.piece"), "").alias("formatted"), F.filter(F.col("turns.span"), lambda s: s.isNotNull()).alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
@@ -105,11 +135,11 @@ def trees(messages: DataFrame, keep: int = 1) -> DataFrame:
 
     ``messages``: tree_id, message_id, parent_id, role, text, score.
     """
-    chosen = paths(messages, keep=keep)
-    steps = chosen.select("tree_id", "branch", "rank", F.posexplode("path").alias("turn", "message_id"))
-    texts = messages.groupBy("tree_id", "message_id").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
+    chosen = steps(messages, keep=keep)
+    least = _node("parent_id", "score", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = messages.groupBy("tree_id", "message_id").agg(least.alias("m"))
     texts = texts.select(F.col("tree_id").alias("_t"), F.col("message_id").alias("_n"), "m")
-    turns = steps.join(texts, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("message_id") == F.col("_n"))).select("tree_id", "branch", "rank", "turn", "m.role", "m.text")
+    turns = chosen.join(texts, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("message_id") == F.col("_n"))).select("tree_id", "branch", "rank", "turn", "m.role", "m.text")
     return format_turns(turns, ["tree_id", "branch", "rank"], "turn")
 
 
@@ -124,9 +154,32 @@ def as_trees(conversations: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame, key: str) -> DataFrame:
-    """Read formatted conversations back: counts and digests of the turns and of what the mask covers."""
-    f = formatted.withColumn("_turns", parse(F.col("formatted")))
-    masked = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
-    f = f.withColumn("_loss", F.array_join(masked, ""))
-    said = F.array_join(F.transform("_turns", lambda u: F.concat(u["role"], F.lit("\n"), u["text"], F.lit("\n"))), "")
-    return f.select(key, F.size("_turns").cast("long").alias("n_turns"), hex_sha256(said).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), hex_sha256(F.col("_loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    """Read formatted conversations back: counts and digests of the turns and of what the mask covers.
+
+    Plain strings in a worker: a span is cut in constant time, not by a scan from the text's start.
+    """
+    f = formatted.select(key, "formatted", F.col("loss_spans.start").alias("start"), F.col("loss_spans.end").alias("end"))
+    schema = StructType([f.schema[key], *(StructField(n, t) for n, t in (("n_turns", LongType()), ("turns_sha256", StringType()), ("loss_chars", LongType()), ("loss_sha256", StringType()), ("formatted_chars", LongType())))])
+    names = schema.names[1:]
+
+    def plain(text):
+        return _CODE.sub(lambda m: _RAW[m[1]], text)
+
+    def one(text, starts, ends):
+        turns = [p[len(HEAD) :].partition(": ") for p in text.split(END)[:-1]]
+        said = "".join(f"{plain(role)}\n{plain(x)}\n" for role, _, x in turns)
+        loss = "".join(plain(text[s:e]) for s, e in zip(starts, ends, strict=True))
+        return len(turns), _sha(said), len(loss), _sha(loss), len(text)
+
+    def step(batches):
+        for batch in batches:
+            rows = [one(*(c[i].as_py() for c in batch.columns[1:])) for i in range(batch.num_rows)]
+            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+            kinds = [pa.string() if n.endswith("sha256") else pa.int64() for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [key, *names])
+
+    return f.mapInArrow(trimmed(step), schema)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()

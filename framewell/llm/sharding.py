@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of a shard whose totals are summed in one small table.
 BUCKETS = 1024
+#: Slots of a repeated row that are laid out by one array.
+RUN = 65_536
 
 
 def draw(key: Column, shard: str, weight: float = 1.0) -> Column:
@@ -54,7 +56,10 @@ def slots(df: DataFrame, shard_col: str, order: Sequence[str]) -> DataFrame:
     # at most shards x BUCKETS rows
     joined = placed.join(F.broadcast(base), (F.col(shard_col).eqNullSafe(F.col("_s"))) & (F.col("_b") == F.col("_bb")))
     first = F.col("_base") + F.col("_in")
-    return joined.withColumn("slot", F.explode(F.sequence(first, first + F.col("_n") - 1))).select(shard_col, *order, "slot")
+    # runs first, then the slots of a run, so that no array grows with the copies of a row
+    runs = joined.select(shard_col, *order, "_n", first.alias("_first"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))).alias("_run"))
+    lo = F.col("_run") * RUN
+    return runs.withColumn("slot", F.explode(F.sequence(F.col("_first") + lo, F.col("_first") + F.least(lo + RUN, "_n") - 1))).select(shard_col, *order, "slot")
 
 
 def shard(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -104,6 +105,21 @@ def test_chat_trees(spark):
     deep = spark.createDataFrame([("d", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(70)], m.schema)
     assert [r["path"] for r in chat.paths(deep).collect()] == [list(range(70))]
     assert chat.trees(m.limit(0)).count() == 0
+    # a repeated message is one of its rows, never a mixture
+    twice = spark.createDataFrame([("r", 1, None, "user", "z", 0.5), ("r", 1, None, "user", "a", 0.9), ("r", 2, 1, "user", "y", 0.0)], m.schema)
+    assert [x["text"] for x in chat.trees(twice).select(chat.F.explode(chat.parse(chat.F.col("formatted"))).alias("x")).select("x.*").collect()] == ["z", "y"]
+
+
+def test_chat_long_thread(spark):
+    """100,000 turns of one thread: as many rows, and a digest that a plain loop confirms."""
+    from framewell.llm import chat
+
+    n = 100_000
+    c = spark.range(n).select(chat.F.lit(5).cast("long").alias("conv_id"), chat.F.col("id").alias("turn"), chat.F.when(chat.F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat.F.concat(chat.F.lit("<"), chat.F.col("id").cast("string")).alias("text"))
+    (got,) = chat.digests(chat.trees(chat.as_trees(c)), "tree_id").collect()
+    said = "".join(f"{('user', 'assistant')[i % 2]}\n<{i}\n" for i in range(n))
+    loss = "".join(f"<{i}" for i in range(1, n, 2))
+    assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == (n, sha(said), len(loss), sha(loss))
 
 
 def test_chat_digests_of_repeated_turns(spark):
@@ -504,6 +520,11 @@ def test_sharding(spark, docs, empty):
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(empty).count() == 0
+    for r in out:  # owners again, by a plain loop
+        draws = [-1 / math.log((int(hashlib.md5(f"{r['doc_id']}\x1fshard-{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) for k in range(9)]
+        assert r["shard"] == draws.index(max(draws[:8])) and r["grown_shard"] == draws.index(max(draws))
+    copies = sharding.shard(spark.range(200_000).select(sharding.F.lit(3).alias("doc_id"), sharding.F.lit("x").alias("text")))
+    assert copies.agg(sharding.F.count("*"), sharding.F.countDistinct("slot"), sharding.F.min("slot"), sharding.F.max("slot")).first()[:] == (200_000, 200_000, 0, 199_999)
     many = spark.range(40_000).withColumnRenamed("id", "doc_id").withColumn("text", sharding.F.lit(""))
     share = {r["shard"]: r["count"] for r in sharding.shard(many, 2, weights=[1, 3]).groupBy("shard").count().collect()}
     assert abs(share[1] / 40_000 - 0.75) < 0.01
