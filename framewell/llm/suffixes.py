@@ -6,9 +6,11 @@ equal in part, the suffixes at the seed (for some very common seeds, the reverse
 are range-partitioned by their leading bytes (Spark samples the splitters) and sorted; a task
 cuts its part of the order into buckets of ``BUCKET`` suffixes, sorts the windows of each
 by multikey quicksort, eight bytes at a time, and marks all but the earliest of each run
-of equal windows. A window can have an equal in another bucket only within the bytes that
-its suffix shares with its bucket's first or last; such windows are compared across
-boundaries, in a task or between tasks, by a second grouping on whole windows.
+of equal windows. Equal windows have equal seeds, so neither splitters nor buckets cut the
+suffixes of a seed, unless these are more than a bucket holds. A window of such a hot seed can
+have an equal in another bucket only within the bytes that its suffix shares with its
+bucket's first or last; these windows are compared across boundaries, in a task or between
+tasks, by a second grouping on whole windows.
 
 Defined results: null and empty texts and texts under ``length`` bytes lose nothing;
 different texts of one doc_id are documents of their own, the one of lesser hash the
@@ -19,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -69,19 +72,22 @@ def _runs(doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return doc[first], at[first], at[last] + length
 
 
-def _buckets(batches, length: int, seed: int):
-    """Cut sorted rows into buckets of at most ``BUCKET`` rows and work through them one by one."""
+def _buckets(batches, length: int, seed: int, most: int):
+    """Cut sorted rows into buckets of at most ``most`` rows and work through them one by one.
+
+    A bucket ends where a seed ends; only a seed of more rows than a bucket is cut.
+    """
     held, rows = [], 0
     for batch in batches:
-        while batch.num_rows:
-            part = batch.slice(0, BUCKET - rows)
-            batch = batch.slice(part.num_rows)
-            held.append(part)
-            rows += part.num_rows
-            if rows == BUCKET:
-                yield from _bucket(held, length, seed)
-                held, rows = [], 0
-    if held:
+        held.append(batch)
+        rows += batch.num_rows
+        while rows > most:
+            t = pa.Table.from_batches(held)
+            seeds = t["key"]
+            cut = bisect.bisect_left(range(most + 1), seeds[most].as_py()[:seed], key=lambda i: seeds[i].as_py()[:seed]) or most
+            yield from _bucket(t.slice(0, cut).to_batches(), length, seed)
+            held, rows = t.slice(cut).to_batches(), rows - cut
+    if rows:
         yield from _bucket(held, length, seed)
 
 
@@ -109,9 +115,10 @@ def _bucket(batches, length: int, seed: int):
     later = (w_doc[keep] != w_doc[keep][least]) | (w_at[keep] != w_at[keep][least])
     d, f, z = _runs(w_doc[keep[later]], w_at[keep[later]], length)
     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(f.astype(np.int32)), pa.array(z.astype(np.int32)), pa.nulls(len(d), pa.binary())], names)
-    # windows that may have an equal in a neighbouring bucket: those within what their key shares with the bucket's first or last
+    # windows that may have an equal in a neighbouring bucket: of hot seeds, those within what their key shares with the bucket's first or last
     raw, keys = b.tobytes(), t["key"].to_pylist()
-    shared = np.array([max(_common(k, keys[0]), _common(k, keys[-1])) for k in keys]) - seed
+    hot = t["hot"].to_numpy(zero_copy_only=False).astype(bool)
+    shared = np.array([max(_common(k, keys[0]), _common(k, keys[-1])) - seed if h else -1 for k, h in zip(keys, hot, strict=True)])
     left = t["leftwards"].to_numpy(zero_copy_only=False).astype(bool)
     before = place[owner] - (start - off[owner])  # the window's bytes left of its seed
     beyond = np.where(left[owner], before, length - seed - before)
@@ -154,8 +161,11 @@ def covered(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
     side = some.where(F.col("k") > MANY).groupBy("seed").agg((F.approx_count_distinct(F.substring(back, 1, 16)) > F.approx_count_distinct(F.substring(right, 1, 16))).alias("leftwards"))
     some = some.join(side, "seed", "left").withColumn("leftwards", F.coalesce("leftwards", F.lit(False)))
     some = some.withColumn("key", F.concat(seed_bytes, F.when(F.col("leftwards"), back).otherwise(right)))
-    dealt = some.repartitionByRange(partitions(spark), "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at").select("doc_id", "at", "windows", "place", "stretch", "key", "leftwards")
-    marked = written(dealt.mapInArrow(trimmed(lambda batches: _buckets(batches, length, seed)), "doc_id long, `from` int, `to` int, window binary"), "marked", release=True)
+    most = BUCKET  # as the driver has it
+    some = some.withColumn("hot", F.col("k") > most)
+    deal = [F.when(F.col("hot"), F.col("key")).otherwise(seed_bytes), F.when(F.col("hot"), F.col("doc_id")), F.when(F.col("hot"), F.col("at"))]
+    dealt = some.repartitionByRange(partitions(spark), *deal).sortWithinPartitions("key", "doc_id", "at").select("doc_id", "at", "windows", "place", "stretch", "key", "leftwards", "hot")
+    marked = written(dealt.mapInArrow(trimmed(lambda batches: _buckets(batches, length, seed, most)), "doc_id long, `from` int, `to` int, window binary"), "marked", release=True)
     edge = marked.where("window is not null")
     least = edge.groupBy("window").agg(F.min(F.struct("doc_id", "from")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
     across = edge.join(least, "window").where((F.col("doc_id") != F.col("x.doc_id")) | (F.col("from") != F.col("x.from")))

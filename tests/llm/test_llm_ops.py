@@ -291,9 +291,11 @@ def test_suffix_dedup(spark, docs, empty, bucket, monkeypatch):
     assert suffixes.digests(empty).count() == 0
 
 
-def test_suffix_dedup_with_common_seeds(spark, monkeypatch):
+@pytest.mark.parametrize("bucket", [20_000, 15])
+def test_suffix_dedup_with_common_seeds(spark, bucket, monkeypatch):
     from framewell.llm import suffixes
 
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
     rnd = random.Random(9)
     line = " ".join(f"common{i}" for i in range(12))
     rows = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randrange(150))) + line[: rnd.randrange(30, len(line))] + "".join(rnd.choice("ab ") for _ in range(rnd.randrange(120))), "", "", 0) for i in range(150)]
