@@ -97,7 +97,8 @@ def steps(messages: DataFrame, tree: str = "tree_id", node: str = "message_id",
     for k, jump in reversed(list(enumerate(jumps))):
         # every distance below 2 ** (k + 1) is written once as a sum of powers of two
         both = F.array(F.struct("n", "turn"), F.struct(F.col("up").alias("n"), (F.col("turn") - (1 << k)).alias("turn")))
-        walk = walk.join(jump, ["t", "n"], "left").select("t", "branch", "rank", "branch_score", F.explode(F.filter(both, lambda x: x["n"].isNotNull())).alias("x")).select("t", "branch", "rank", "branch_score", "x.turn", "x.n")
+        # merged: a plan of many broadcasts would hold all of them in the driver at once
+        walk = walk.join(jump.hint("merge"), ["t", "n"], "left").select("t", "branch", "rank", "branch_score", F.explode(F.filter(both, lambda x: x["n"].isNotNull())).alias("x")).select("t", "branch", "rank", "branch_score", "x.turn", "x.n")
     return walk.select(F.col("t.k").alias(tree), "branch", "rank", "branch_score", "turn", F.col("n").alias(node))
 
 
