@@ -6,7 +6,9 @@ for the target recall at the threshold; classes that share a band hash are linke
 least of them, and the components of these links are the candidate groups. Inside a group
 every pair is verified on the full sets, in blocks of bounded size, so no link inside a
 group is missed and no pair is emitted: a block returns, for each class, how many
-documents it links to, and a spanning forest of the links.
+documents it links to, and a spanning forest of the links. A group of several blocks is
+first parted by set size: a set meets its own size class and the two beside it, as two sets
+further apart can't be that like.
 
 Defined results: rows of one doc_id are one document (that of the least text hash); rows
 without a doc_id are left out; a text without words is linked to equal texts only; the
@@ -17,6 +19,7 @@ one; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +87,7 @@ def band_hashes(h: np.ndarray, off: np.ndarray, bands: int, rows: int) -> np.nda
 
 
 def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_hash, n_bytes, bands array<long>) of every document."""
+    """(doc_id, text_hash, n_bytes, n_grams, bands array<long>) of every document."""
 
     def step(batches):
         for batch in batches:
@@ -95,9 +98,9 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 digest = [hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(ends, ends[1:], strict=False)]
                 empty = np.diff(o) == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]).astype(np.int32)), pa.array(sig[~empty].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(off) - 1), pa.array(digest, pa.binary()), pa.array(np.diff(off)), lists], ["doc_id", "text_hash", "n_bytes", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(off) - 1), pa.array(digest, pa.binary()), pa.array(np.diff(off)), pa.array(np.diff(o)), lists], ["doc_id", "text_hash", "n_bytes", "n_grams", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(step), "doc_id long, text_hash binary, n_bytes long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(step), "doc_id long, text_hash binary, n_bytes long, n_grams long, bands array<long>")
 
 
 def _linked(sets: list[np.ndarray], cross: int | None, numerator: int, denominator: int):
@@ -160,37 +163,57 @@ def join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), re
     """
     top, bottom = threshold
     bands, rows = banding(top / bottom, recall)
-    found = sketch(docs.where(F.col("doc_id").isNotNull()), size, bands, rows).groupBy("doc_id").agg(F.min(F.struct("text_hash", "n_bytes", "bands")).alias("x")).select("doc_id", "x.*")
+    found = sketch(docs.where(F.col("doc_id").isNotNull()), size, bands, rows).groupBy("doc_id").agg(F.min(F.struct("text_hash", "n_bytes", "n_grams", "bands")).alias("x")).select("doc_id", "x.*")
     found = written(found, "sketch")
     # a class: equal texts
-    classes = found.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("n_bytes", "bands")).alias("x")).select("text_hash", "rep", "copies", "x.*")
+    classes = found.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("n_bytes", "n_grams", "bands")).alias("x")).select("text_hash", "rep", "copies", "x.*")
     classes = written(classes, "classes")
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     met = keyed.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     edges = keyed.join(met, ["band", "hash"]).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     groups = components(edges)
-    members = groups.join(classes.select(F.col("rep").alias("node"), "copies", "n_bytes"), "node")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = members.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block pairs (i, j), i <= j, that a member takes part in
-    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    members = members.select(F.col("node").alias("doc_id"), "root", "copies", "block", F.explode(both).alias("p")).select("doc_id", "root", "copies", "block", "p.i", "p.j")
+    members = groups.join(classes.select(F.col("rep").alias("node"), "copies", "n_bytes", "n_grams"), "node")
+    # a size class is a little wider than the threshold allows, so that rounding parts no pair
+    width = -math.log(top / bottom) * (1 + 1e-9)
+    members = members.withColumn("class", F.floor(F.log(F.col("n_grams").cast("double")) / width).cast("int"))
+    # the blocks of a group and of each of its size classes, a few dozen at most, as their width grows with the size
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    spans = members.groupBy("root", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"))
+    sizes = spans.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("class", blocks_of(F.col("n"), F.col("b"))))).alias("blocks"), blocks_of(F.sum("n"), F.sum("b")).alias("whole"))
+    one = F.create_map(F.lit(0), F.lit(1))
+    sizes = sizes.select("root", F.when(F.col("whole") > 1, F.col("blocks")).otherwise(one).alias("blocks"), (F.col("whole") > 1).alias("parted"))
+    members = members.join(sizes, "root").withColumn("class", F.when(F.col("parted"), F.col("class")).otherwise(0))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("class")]).cast("int"))
+    own, block = F.col("class"), F.col("block")
+
+    def met_by(shift, pair):
+        """``pair`` of each block of the size class ``shift`` further."""
+        n = F.coalesce(F.col("blocks")[own + shift], F.lit(0))
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda k: k < n), pair)
+
+    def pair(class_i, i, class_j, j, side):
+        return F.struct(class_i.alias("class_i"), i.alias("i"), class_j.alias("class_j"), j.alias("j"), side.cast("int").alias("side"))
+
+    # pairs of blocks that a member takes part in, and its side of them
+    within = met_by(0, lambda k: pair(own, F.least(block, k), own, F.greatest(block, k), block > k))
+    above = met_by(1, lambda k: pair(own, block, own + 1, k, F.lit(0)))
+    below = met_by(-1, lambda k: pair(own - 1, k, own, block, F.lit(1)))
+    members = members.select(F.col("node").alias("doc_id"), "root", "copies", F.explode(F.concat(within, above, below)).alias("p")).select("doc_id", "root", "copies", "p.*")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if repeated_ids(texts):  # the row that the sketch took stands for its id
         texts = _hashed(texts).join(found.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).groupBy("doc_id").agg(F.first("text").alias("text"))
     work = texts.join(members, "doc_id")
 
     def verify(key, group):
-        _, i, j = (k.as_py() for k in key)
-        order = np.lexsort((group["doc_id"].to_numpy(), group["block"].to_numpy()))
+        _, class_i, i, class_j, j = (k.as_py() for k in key)
+        order = np.lexsort((group["doc_id"].to_numpy(), group["side"].to_numpy()))
         group = group.take(pa.array(order))
-        ids, copies, block = (group[c].to_numpy() for c in ("doc_id", "copies", "block"))
+        ids, copies, side = (group[c].to_numpy() for c in ("doc_id", "copies", "side"))
         sets = []
         for _, b, off in text_parts(group["text"].combine_chunks()):
             h, o = shingles(b, off, size)
             sets += [h[s:e] for s, e in zip(o.tolist(), o[1:].tolist(), strict=False)]
-        cross = None if i == j else int((block == i).sum())
+        cross = None if (class_i, i) == (class_j, j) else int((side == 0).sum())
         schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
         if len(ids) < 2 or cross in (0, len(ids)):
             return schema.empty_table()
@@ -205,7 +228,7 @@ def join(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), re
         other = [None] * len(has) + [int(ids[p[1]]) for p in pairs]
         return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array([*links[has].tolist(), *[0] * len(pairs)], pa.int64()), "other": pa.array(other, pa.int64())}, schema=schema)
 
-    verified = written(work.groupBy("root", "i", "j").applyInArrow(verify, "node long, links long, other long"), "verified")
+    verified = written(work.groupBy("root", "class_i", "i", "class_j", "j").applyInArrow(verify, "node long, links long, other long"), "verified")
     linked = components(verified.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("node", "rep"), "rep", "left")

@@ -152,6 +152,50 @@ def test_quality(spark, empty):
     assert quality.score(d.withColumn("score", quality.F.lit("x")), model).count() == 1000
 
 
+def plain_features(text):
+    """The features again, a character and a word at a time."""
+    from framewell.llm import quality
+
+    words, data = text.split(), text.encode()
+    n, total = max(len(words), 1), max(len(data), 1)
+    lines = [x for x in text.split("\n") if x.strip()]
+    count = lambda chars: sum(chr(b) in chars for b in data if b < 128)
+    out = {
+        "log_words": math.log(1 + len(words)), "word_length": sum(len(w) for w in words) / n, "distinct_words": len(set(words)) / n, "upper_words": sum(w.isupper() for w in words) / n,
+        "repeated_next": sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / n, "short_words": sum(len(w) < 4 for w in words) / n,
+        "digits": count("0123456789") / total, "upper_ascii": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / total, "sentence_marks": count(".?") / n, "commas": count(",;:") / n,
+        "exclamations": count("!") / n, "pipes": count("|") / n, "symbols": count("*#%&$@^~=_<>\\{}[]/+") / n, "lines_per_word": len(lines) / n,
+        "distinct_lines": len(set(lines)) / max(len(lines), 1), "top_word": max((words.count(w) for w in set(words)), default=0) / n,
+    }
+    return [out[f] for f in quality.FEATURES]
+
+
+def plain_score(m, x):
+    """A row's score by look-ups in a loop."""
+    z, bins = m.intercept, [sum(edge <= v for edge in cuts) for cuts, v in zip(m.cuts, x, strict=False)]
+    for k, b in enumerate(bins):
+        z += m.tables[k][b]
+    for (i, j), t in zip(m.pairs, m.pair_tables, strict=True):
+        z += t[m.coarse[i][bins[i]]][m.coarse[j][bins[j]]]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_is_a_plain_sum_of_look_ups(spark):
+    from framewell.llm import quality
+
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(d, labels)
+    assert model.pairs and len(model.tables) == len(quality.FEATURES)
+    own = d.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "| ! | X9 é\n\n a a a")], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in own.collect()}
+    for r in quality.score(own, model).collect():
+        x = plain_features(texts[r["doc_id"]])
+        assert quality.measure(texts[r["doc_id"]]) == pytest.approx(x)
+        assert r["score"] == pytest.approx(plain_score(model, quality.measure(texts[r["doc_id"]]))) and r["predicted"] == (r["score"] >= 0.3)
+    registered = {r["doc_id"]: r["score"] for r in quality.digests(d, labels).collect()}
+    assert registered == pytest.approx({k: plain_score(model, quality.measure(texts[k])) for k in registered})
+
+
 def test_top_word_is_the_commonest():
     from framewell.llm import quality
 
@@ -376,6 +420,18 @@ def test_jaccard_join(spark, docs, empty, block, monkeypatch):
     assert {k: (r["class_id"], r["n_links"]) for k, r in by_id(jaccard.join(twice)).items()} == brute_jaccard(corpus())
 
 
+@pytest.mark.parametrize("block", [512, 24])
+def test_jaccard_join_of_a_chain(spark, block, monkeypatch):
+    """One group whose texts grow from 40 to 500 words, so that it has many size classes."""
+    from framewell.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(n, " ".join(words[:n]), "", "", 0) for n in range(40, 501, 2)] + [(1000 + n, " ".join([*words[:n], "odd"]), "", "", 0) for n in range(40, 500, 17)]
+    got = {k: (r["class_id"], r["n_links"]) for k, r in by_id(jaccard.join(spark.createDataFrame(rows, DOCS))).items()}
+    assert got == brute_jaccard(rows)
+
+
 def test_banding():
     from framewell.llm.jaccard import banding
 
@@ -500,6 +556,54 @@ def test_spotsigs(spark, docs, empty):
     assert one["near_next"] == 1.0
 
 
+def plain_spots(text):
+    """The signatures of a text, word by word."""
+    import xxhash
+    from framewell.llm.spotsigs import CHAIN, COMMON, STRETCH
+
+    def hashed(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode(), seed)
+        return seed & 0xFFFFFFFF
+
+    common = set(COMMON.split())
+    words = "".join(c if c.isalpha() or c.isdigit() else " " for c in text.lower()).split()
+    spots = [("", [])]  # (anchor, content words)
+    for i, w in enumerate(words):
+        anchor, content = spots[-1]
+        if w in common:
+            if anchor and not content and anchor.count(" ") < 8:
+                spots[-1] = (f"{anchor} {w}", content)
+            else:
+                spots.append((f" {w}", []))
+        else:
+            content.append(w)
+            if len(content) == STRETCH and (i + 1 == len(words) or words[i + 1] not in common):
+                spots.append(("", []))
+    out = set()
+    for (anchor, content), (_, after) in zip(spots, [*spots[1:], ("", [])], strict=True):
+        if chain := (content + after)[:CHAIN]:
+            out.add(hashed(anchor, " ".join(chain)))
+    return out or ({hashed(text)} if text else set())
+
+
+def test_spotsigs_signatures_word_by_word(spark, docs):
+    from framewell.llm import spotsigs
+
+    own = docs.unionByName(spark.createDataFrame([(2000, "the " * 30 + "end of it", "", "", 0), (2001, " ".join(f"w{i}" for i in range(40)) + " the", "", "", 0), (2002, "Le chat, et le chien; ÉTÉ 42!", "", "", 0)], DOCS))
+    rows = {r["doc_id"]: r["text"] or "" for r in own.collect()}
+    ids = sorted(rows, reverse=True)
+    show = lambda s: "".join(f"{x:08x}" for x in sorted(s))
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    got = by_id(spotsigs.digests(own))
+    for a, b in zip(ids, [*ids[1:], ids[0]], strict=True):
+        t, cut = rows[a], len(rows[a]) // 3
+        mine, edited = plain_spots(t), plain_spots(t[: len(t) - cut] + rows[b][:cut])
+        assert (got[a]["fingerprint"], got[a]["edited_fingerprint"]) == (show(mine), show(edited))
+        assert (got[a]["near_edited"], got[a]["near_next"]) == pytest.approx((near(mine, edited), near(mine, plain_spots(rows[b]))))
+
+
 def test_spotsigs_near_pairs(spark):
     from framewell.llm import spotsigs
 
