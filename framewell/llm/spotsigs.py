@@ -62,7 +62,7 @@ def signatures(text: Column) -> Column:
         """``all_parts`` is bound by an outer transform, so the patterns run once for a text."""
 
         def spot(p, i):
-            chain = F.trim(F.substring_index(F.concat_ws(" ", content(p), content(F.coalesce(F.get(all_parts, i + 1), F.lit("")))), " ", CHAIN))
+            chain = F.substring_index(F.trim(F.concat_ws(" ", content(p), content(F.coalesce(F.get(all_parts, i + 1), F.lit(""))))), " ", CHAIN)
             anchor = F.when(F.instr(p, "\t") > 0, F.substring_index(p, "\t", 1)).otherwise(F.lit(""))
             return F.when(chain != "", F.xxhash64(anchor, chain).bitwiseAND(0xFFFFFFFF))
 
