@@ -136,5 +136,10 @@ def frame_count(indexed: int | None, container: int | None, duration: float | No
     return None, True
 
 
+def duration(stream: Column, container: Column, start: Column) -> Column:
+    """Seconds from a medium's first moment: the stream's own, else the container's less a positive start before its end."""
+    return F.coalesce(stream, F.when((start > 0) & (container > start), container - start).otherwise(container))
+
+
 def coarse_vfr(average: float | None, base: float | None) -> bool:
     return bool(average and base and abs(average - base) / base > 1e-3)

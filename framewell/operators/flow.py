@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import fail
+from ..functions import color
 
 #: Fixed values of the estimator.
 FARNEBACK = {"pyr_scale": 0.5, "levels": 3, "winsize": 15, "iterations": 3, "poly_n": 5, "poly_sigma": 1.2, "flags": 0}
@@ -83,3 +84,22 @@ def compensate(flow: DataFrame, motion: DataFrame) -> DataFrame:
     gx = (F.col("a") - 1) * F.col("x") - F.col("b") * F.col("y") + F.col("_dx")
     gy = F.col("b") * F.col("x") + (F.col("a") - 1) * F.col("y") + F.col("_dy")
     return j.select("media_id", "frame", "y", "x", (F.col("dx") - gx).alias("dx"), (F.col("dy") - gy).alias("dy"))
+
+
+def _shown(flow: DataFrame) -> DataFrame:
+    """``flow`` with ``_m``: its magnitude as 0-255, scaled by the greatest of its frame."""
+    m = F.hypot("dx", "dy")
+    most = flow.groupBy("media_id", "frame").agg(F.max(m).alias("_most"))
+    value = F.when(F.col("_most") > 1e-9, F.floor(F.least(m * 255.0 / F.col("_most"), F.lit(255.0)) + 1e-9)).otherwise(0)
+    return flow.join(most, ["media_id", "frame"]).withColumn("_m", value.cast("double"))
+
+
+def magnitude_preview(flow: DataFrame) -> DataFrame:
+    """(media_id, frame, y, x, r, g, b): magnitudes on the fire scale."""
+    return _shown(flow).withColumn("c", color.heat(F.col("_m"))).select("media_id", "frame", "y", "x", "c.r", "c.g", "c.b")
+
+
+def direction_preview(flow: DataFrame) -> DataFrame:
+    """(media_id, frame, y, x, r, g, b): the direction as hue, in steps of two degrees, the magnitude as value."""
+    hue = F.floor(F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(360.0)) / 2) * 2
+    return _shown(flow).withColumn("c", color.from_hsv(hue, F.lit(1.0), F.col("_m") / 255.0)).select("media_id", "frame", "y", "x", "c.r", "c.g", "c.b")

@@ -159,6 +159,16 @@ def spatial_peaks(spectrum: DataFrame, count: int = PEAKS) -> DataFrame:
     return z.select("media_id", "frame", "rank", "u", "v", (1 / F.hypot(u / w, v / h)).alias("period_px"), F.degrees(F.atan2(v.cast("double"), u.cast("double"))).alias("angle_deg"), "magnitude")
 
 
+def log_preview(spectrum: DataFrame, by: list[str], row: str, column: str) -> DataFrame:
+    """(by, y, x, v): display values 0-255 of log(1 + magnitude), scaled by the greatest of each group; all 0 if that is 0."""
+    m = F.log1p(F.hypot("re", "im"))
+    most = F.max("_m").over(Window.partitionBy(*by))
+    out = spectrum.withColumn("_m", m).withColumn("_most", most)
+    # the largest value is exactly 255; a little under a whole number is that number
+    value = F.when(F.col("_most") > 0, F.floor(F.col("_m") * 255.0 / F.col("_most") + 1e-9)).otherwise(0)
+    return out.select(*by, F.col(row).alias("y"), F.col(column).alias("x"), value.cast("int").alias("v"))
+
+
 def assess_pattern(gray: np.ndarray) -> dict:
     """Whether a picture has a regular fine texture: both axes' residuals repeat, at nearly one period."""
     h, w = (min(n, 1024) for n in gray.shape)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
+from ..functions.color import heat
 from .aggregate import percentiles
+from .sampling import CHANNELS
 
 
 def stretch(df: DataFrame, by: Sequence[str], columns: Sequence[str], low: float = 1.0, high: float = 99.0) -> DataFrame:
@@ -24,6 +26,34 @@ def stretch(df: DataFrame, by: Sequence[str], columns: Sequence[str], low: float
     return out.select(*[F.when(span < 1e-12, 128).otherwise(F.floor(unit(c) * 255.0 + 0.5)).cast("int").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def automatic(df: DataFrame, by: Sequence[str], columns: Sequence[str], time: str = "frame", codes: bool = False) -> DataFrame:
+    """The default picture of a table: the first slice of its time axis, if it has one, as 0-255.
+
+    Code values (``codes``) stay; others go between the 1st and 99th percentile of the slice,
+    cut to whole numbers; a flat slice is 0.
+    """
+    if time in df.columns:
+        first = df.groupBy(*by).agg(F.min(time).alias(time))
+        df = df.join(first, [*by, time], "left_semi").drop(time)
+    if codes:
+        return df
+    long = df.select(*by, F.explode(F.array(*columns)).alias("_v"))
+    ends = [percentiles(long, by, ["_v"], p).select(*by, F.col("_v").alias(n)) for p, n in ((1.0, "_lo"), (99.0, "_hi"))]
+    out = df.join(ends[0].join(ends[1], [*by]), [*by])
+    span = F.col("_hi") - F.col("_lo")
+    shown = lambda c: F.floor(F.least(F.greatest((F.col(c) - F.col("_lo")) * 255.0 / span, F.lit(0.0)), F.lit(255.0)) + 1e-9)
+    return out.select(*[F.when(span <= 0, 0).otherwise(shown(c)).cast("int").alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def compare_heat(px: DataFrame, a: int, b: int, scale: str = "fire") -> DataFrame:
+    """(media_id, y, x, r, g, b): the largest channel difference of two frames, scaled by its maximum, on a colour scale."""
+    folded = px.where(F.col("frame").isin(a, b)).groupBy("media_id", "y", "x").agg(*[F.max(F.when(F.col("frame") == f, F.struct(*CHANNELS))).alias(n) for f, n in ((a, "p"), (b, "q"))])
+    d = folded.where("p IS NOT NULL AND q IS NOT NULL").select("media_id", "y", "x", F.greatest(*[F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) for c in CHANNELS]).alias("d"))
+    most = d.groupBy("media_id").agg(F.max("d").alias("most"))
+    v = F.when(F.col("most") > 0, F.floor(F.col("d") * (255.0 / F.col("most")) + 0.5)).otherwise(0).cast("double")
+    return d.join(most, "media_id").withColumn("c", heat(v, scale)).select("media_id", "y", "x", "c.r", "c.g", "c.b")
+
+
 def destripe(df: DataFrame, by: Sequence[str], column: str = "v") -> DataFrame:
     """Value minus the means of its column and row plus that of its picture."""
     mean = lambda *k: F.avg(column).over(Window.partitionBy(*by, *k))

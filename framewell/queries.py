@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import color
-from .operators import aggregate, change, frequency, lookup, preview, sampling, selection
+from .operators import aggregate, change, flow, frequency, lookup, preview, sampling, selection
 from .sources import clips
 from .sources.clips import CLIPS, EMBEDDING_CLIPS_SQL, EVENT_CLIPS_SQL, LINEITEM_CLIPS_SQL
 
@@ -307,6 +307,36 @@ def fx_region_stats(spark, sf_dir):
     return s.select("media_id", "frame", "pixel_count", *[F.col(f"{n}_{c}") for n in ("mean", "median", "min", "max") for c in "rgb"], F.floor(F.col("mean_luminance") * 1e6 + 0.5).cast("double").alias("luminance_e6"))
 
 
+_HSV = """(CASE WHEN hi = lo THEN 0 WHEN hi = r THEN ((g - b) / (hi - lo) + 6) % 6 WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END) * 60 AS hue,
+CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi END AS sat, hi / 255 AS val"""
+_LINEAR = "[CASE WHEN v / 255.0 <= 0.04045 THEN v / 255.0 / 12.92 ELSE pow((v / 255.0 + 0.055) / 1.055, 2.4) END FOR v IN [r, g, b]]"
+_LAB_F = """[CASE WHEN v > 216.0 / 24389 THEN cbrt(v) ELSE v / (3 * 36.0 / 841) + 4.0 / 29 END FOR v IN [
+ (0.4124564 * c[1] + 0.3575761 * c[2] + 0.1804375 * c[3]) / 0.95047, 0.2126729 * c[1] + 0.7151522 * c[2] + 0.0721750 * c[3], (0.0193339 * c[1] + 0.1191920 * c[2] + 0.9503041 * c[3]) / 1.08883]]"""
+
+
+def whole(v, digits: int):
+    """A value as a whole number of its last compared digit; not cut at halves, which exact results often are."""
+    return F.floor(v * 10**digits + 0.317).cast("double")
+
+
+@query("em_roi_std", f"SELECT media_id, frame, {', '.join(f'floor(stddev_pop({c}) * 1e4 + 0.317) AS {c}' for c in 'rgb')} FROM {EM} WHERE x >= 2 AND x < 6 AND y >= 2 AND y < 6 GROUP BY media_id, frame")
+def em_roi_std(spark, sf_dir):
+    out = aggregate.roi_t(clips.embedding_clips(spark, sf_dir), (2, 2, 4, 4), "std")
+    return out.select("media_id", "frame", *[whole(F.col(c), 4).alias(c) for c in "rgb"])
+
+
+@query("fx_region_all", f"""WITH p AS (SELECT *, {_HSV}, 0.2126 * r + 0.7152 * g + 0.0722 * b AS lum, {_LAB_F} AS f FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, {_LINEAR} AS c FROM {fx('noise')}))
+SELECT media_id, frame, count(*) AS pixel_count, {', '.join(f'floor(avg({c}) * 1e4 + 0.317) AS mean_{c}, floor(stddev_pop({c}) * 1e4 + 0.317) AS std_{c}, floor(quantile_cont({c}, 0.5) * 1e4 + 0.317) AS median_{c}, min({c}) * 1e4 AS min_{c}, max({c}) * 1e4 AS max_{c}' for c in 'rgb')},
+floor(avg(hue) * 1e4 + 0.317) AS mean_hue, floor(avg(sat) * 1e6 + 0.317) AS mean_saturation, floor(avg(val) * 1e6 + 0.317) AS mean_value,
+floor(avg(116 * f[2] - 16) * 1e4 + 0.317) AS mean_lab_l, floor(avg(500 * (f[1] - f[2])) * 1e4 + 0.317) AS mean_lab_a, floor(avg(200 * (f[2] - f[3])) * 1e4 + 0.317) AS mean_lab_b,
+floor(avg(lum) * 1e4 + 0.317) AS mean_luminance, floor(stddev_pop(lum) * 1e4 + 0.317) AS std_luminance FROM p GROUP BY media_id, frame""")
+def fx_region_all(spark, sf_dir):
+    """Every column of the statistics of whole frames."""
+    out = aggregate.region_stats(CLIPS["noise"].pixels(spark))
+    keys = ("media_id", "frame", "pixel_count")
+    return out.select(*keys, *[whole(F.col(c), 4).alias(c) for c in out.columns if c not in keys])
+
+
 _ALPHA = "SELECT 'a' || (id % 4) AS media_id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 255 WHEN 2 THEN 255 * (floor(id / 4) % 2) ELSE floor(id / 4) % 256 END AS alpha, CASE WHEN id % 4 = 2 THEN floor(id / 4) % 9 END AS index FROM"
 
 
@@ -381,16 +411,38 @@ SELECT media_id, frame, pts, floor(CASE WHEN pts IS NULL THEN frame ELSE greates
     CASE WHEN pts - first < 0 THEN 'TIMELINE_NEGATIVE_NORMALIZED' END, CASE WHEN pts IS NULL THEN 'TIMELINE_ESTIMATED_FROM_INDEX' END], lambda f: f IS NOT NULL), ',') AS flags
 FROM q""")
 def ev_pts_flags(spark, sf_dir):
-    e = clips.event_clips(spark, sf_dir)
+    t = change.timing(_packets(spark, sf_dir).withColumn("duration_pts", F.lit(None).cast("bigint")), 1, 1_000_000)
+    return t.select("media_id", "frame", "pts", F.floor(F.col("t") * 1000 + 0.5).cast("double").alias("t_ms"), F.array_join("flags", ",").alias("flags"))
+
+
+def _packets(spark, sf_dir):
+    """Packets (media_id, frame, pts), some without a stamp and some out of order."""
     ids = spark.read.parquet(f"{sf_dir}/events.parquet")
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    packets = ids.select(F.col("user_id").cast("string").alias("media_id"), (F.row_number().over(w) - 1).cast("int").alias("frame"), F.when(F.col("event_id") % 17 == 0, None).when(F.col("event_id") % 13 == 0, us - 50000000000).otherwise(us).alias("pts"), F.lit(None).cast("bigint").alias("duration_pts"))
-    assert e.columns[0] == "media_id"
-    t = change.timing(packets, 1, 1_000_000)
-    return t.select("media_id", "frame", "pts", F.floor(F.col("t") * 1000 + 0.5).cast("double").alias("t_ms"), F.array_join("flags", ",").alias("flags"))
+    pts = F.when(F.col("event_id") % 17 == 0, None).when(F.col("event_id") % 13 == 0, us - 50000000000).otherwise(us)
+    return ids.select(F.col("user_id").cast("string").alias("media_id"), (F.row_number().over(w) - 1).cast("int").alias("frame"), pts.alias("pts"))
+
+
+@query("ev_pts_durations", f"""SELECT media_id, frame, CASE WHEN frame % 5 = 0 THEN frame + 1 WHEN after > pts THEN after - pts END AS duration_pts
+FROM (SELECT *, lead(pts) OVER (PARTITION BY media_id ORDER BY frame) AS after FROM ({_PACKETS}))""")
+def ev_pts_durations(spark, sf_dir):
+    known = _packets(spark, sf_dir).withColumn("duration_pts", F.when(F.col("frame") % 5 == 0, F.col("frame") + 1).cast("bigint"))
+    return change.timing(known, 1, 1_000_000).select("media_id", "frame", "duration_pts")
+
+
+@query("ev_duration", f"""SELECT media_id, floor((CASE WHEN n % 3 = 0 THEN stream WHEN start > 0 AND stop > start THEN stop - start ELSE stop END) * 1e3 + 0.317) AS duration_ms
+FROM (SELECT media_id, count(*) AS n, max(t) AS stream, max(t) AS stop, min(t) FILTER (t > 0 AND frame % 2 = 0) AS start FROM {EV} GROUP BY media_id)""")
+def ev_duration(spark, sf_dir):
+    g = clips.event_clips(spark, sf_dir).groupBy("media_id").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("stop"), F.min(F.when((F.col("t") > 0) & (F.col("frame") % 2 == 0), F.col("t"))).alias("start"))
+    return g.select("media_id", whole(change.duration(F.when(F.col("n") % 3 == 0, F.col("stop")), F.col("stop"), F.col("start")), 3).alias("duration_ms"))
+
+
+@query("ev_milliseconds", f"SELECT media_id, frame, floor(t * 1e6 + 0.317) AS microseconds FROM {EV}")
+def ev_milliseconds(spark, sf_dir):
+    return clips.event_clips(spark, sf_dir).select("media_id", "frame", whole(color.milliseconds(F.col("t")), 3).alias("microseconds"))
 
 
 @query("ev_page", f"SELECT * FROM ({scores_sql(EV)}) ORDER BY score DESC, media_id, frame LIMIT 50 OFFSET 100")
@@ -401,14 +453,6 @@ def ev_page(spark, sf_dir):
 # colour
 
 
-@query("fx_hsv", f"""SELECT media_id, frame, y, x, floor((CASE WHEN hi = lo THEN 0 WHEN hi = r THEN ((g - b) / (hi - lo) + 6) % 6 WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END) * 60 * 1e6 + 0.5) AS h_e6,
-floor(CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi * 100 END * 1e6 + 0.5) AS s_e6, floor(hi / 255 * 100 * 1e6 + 0.5) AS v_e6 FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM {fx('noise')} WHERE frame < 3)""")
-def fx_hsv(spark, sf_dir):
-    c = color.hsv(F.col("r"), F.col("g"), F.col("b"))
-    px = CLIPS["noise"].pixels(spark, frames=(0, 3)).withColumn("c", c)
-    return px.select("media_id", "frame", "y", "x", *[F.floor(F.col(f"c.{k}") * 1e6 + 0.5).cast("double").alias(f"{k}_e6") for k in "hsv"])
-
-
 @query("fx_hsv_clip", f"""SELECT media_id, frame, y, x, floor((CASE WHEN hi = lo THEN 0 WHEN hi = r THEN ((g - b) / (hi - lo) + 6) % 6 WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END) * 60 * 1e6 + 0.5) AS h_e6,
 floor(CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi * 100 END * 1e6 + 0.5) AS s_e6, floor(hi / 255 * 100 * 1e6 + 0.5) AS v_e6 FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM {fx('noise')})""")
 def fx_hsv_clip(spark, sf_dir):
@@ -437,15 +481,51 @@ def fx_lab(spark, sf_dir):
     return px.select("y", "x", *[F.floor(F.col(f"c.{k}") * 1e4 + 0.5).cast("double").alias(f"{k}_e4") for k in "lab"])
 
 
-# previews
+_SECTOR = "CAST(round_even((v - v * s * greatest(0, least((n + h / 60.0) % 6, 4 - (n + h / 60.0) % 6, 1))) * 255, 0) AS INT)"
+
+
+def _from_hsv_sql(source: str, keys: str) -> str:
+    return f"SELECT {keys}, {', '.join(_SECTOR.replace('n +', f'{n} +') + f' AS {c}' for n, c in ((5, 'r'), (3, 'g'), (1, 'b')))} FROM ({source})"
+
+
+@query("fx_hsv_unit", f"SELECT frame, y, x, floor(hue * 1e6 + 0.317) AS h_e6, floor(sat * 1e6 + 0.317) AS s_e6, floor(val * 1e6 + 0.317) AS v_e6 FROM (SELECT *, {_HSV} FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM {fx('noise')}))")
+def fx_hsv_unit(spark, sf_dir):
+    px = CLIPS["noise"].pixels(spark).withColumn("c", color.hsv(F.col("r"), F.col("g"), F.col("b"), 1.0))
+    return px.select("frame", "y", "x", *[whole(F.col(f"c.{k}"), 6).alias(f"{k}_e6") for k in "hsv"])
+
+
+@query("fx_from_hsv", _from_hsv_sql(f"SELECT frame, y, x, (r * 7 + x) % 360 + 0.3 AS h, (g % 100) / 101.0 AS s, (b % 98) / 99.0 AS v FROM {fx('noise')}", "frame, y, x"))
+def fx_from_hsv(spark, sf_dir):
+    h, s, v = (F.col("r") * 7 + F.col("x")) % 360 + 0.3, (F.col("g") % 100) / 101.0, (F.col("b") % 98) / 99.0
+    return CLIPS["noise"].pixels(spark).withColumn("c", color.from_hsv(h, s, v)).select("frame", "y", "x", "c.r", "c.g", "c.b")
+
+
+_XYZ = "(SELECT frame, y, x, [CASE WHEN v > 6.0 / 29 THEN v * v * v ELSE 3 * 36.0 / 841 * (v - 4.0 / 29) END FOR v IN [fy + la / 500, fy, fy - lb / 200]] AS c FROM (SELECT *, r / 2.56 AS l, g - 127.7 AS la, b - 127.7 AS lb, (r / 2.56 + 16) / 116 AS fy FROM {}))"
+#: XYZ (D65) to linear sRGB, the inverse of the matrix of ``color``.
+_TO_RGB = ((3.2404548360214087, -1.5371388501025751, -0.498531546868481), (-0.9692663898756538, 1.876010928842491, 0.041556082346673545), (0.05564341960421367, -0.20402585426769818, 1.057225162457929))
+_GAMMA = "CAST(round_even((CASE WHEN {u} <= 0.0031308 THEN {u} * 12.92 ELSE 1.055 * pow({u}, 1 / 2.4) - 0.055 END) * 255, 0) AS INT)"
+
+
+@query("fx_from_lab", f"SELECT frame, y, x, {', '.join(_GAMMA.format(u=f'u[{k}]') + f' AS {c}' for k, c in ((1, 'r'), (2, 'g'), (3, 'b')))} FROM (SELECT frame, y, x, [least(greatest(v, 0), 1) FOR v IN [{', '.join(f'{a!r} * 0.95047 * c[1] + {b!r} * c[2] + {d!r} * 1.08883 * c[3]' for a, b, d in _TO_RGB)}]] AS u FROM {_XYZ.format(fx('noise'))})")
+def fx_from_lab(spark, sf_dir):
+    c = color.from_lab(F.col("r") / 2.56, F.col("g") - 127.7, F.col("b") - 127.7)
+    return CLIPS["noise"].pixels(spark).withColumn("c", c).select("frame", "y", "x", "c.r", "c.g", "c.b")
+
+
+@query("fx_gray_weights", f"""SELECT frame, y, x, floor((0.5 * r + 0.25 * g + 0.25 * b) * 100 + 0.317) AS gray_e2, floor((0.2126729 * c[1] + 0.7151522 * c[2] + 0.0721750 * c[3]) * 255 * 1e6 + 0.317) AS linear_e6
+FROM (SELECT *, {_LINEAR} AS c FROM {fx('noise')})""")
+def fx_gray_weights(spark, sf_dir):
+    c = [F.col(k) for k in "rgb"]
+    return CLIPS["noise"].pixels(spark).select("frame", "y", "x", whole(color.weighted(*c, (0.5, 0.25, 0.25)), 2).alias("gray_e2"), whole(color.linear_luminance(*c), 6).alias("linear_e6"))
+
 
+@query("fx_polar", f"SELECT frame, y, x, floor(sqrt(dx * dx + dy * dy) * 1e6 + 0.317) AS magnitude_e6, floor(degrees(atan2(dy, dx)) * 1e6 + 0.317) AS angle_e6 FROM (SELECT *, r - 99.7 AS dx, g - 101.3 AS dy FROM {fx('noise')})")
+def fx_polar(spark, sf_dir):
+    px = CLIPS["noise"].pixels(spark).withColumn("p", color.polar(F.col("r") - 99.7, F.col("g") - 101.3))
+    return px.select("frame", "y", "x", whole(F.col("p.magnitude"), 6).alias("magnitude_e6"), whole(F.col("p.angle"), 6).alias("angle_e6"))
 
-@query("em_box_smooth", f"""WITH e AS (SELECT media_id, y, x, r FROM {EM} WHERE frame = 0)
-SELECT a.media_id, a.y, a.x, CAST(sum(b.r) AS DOUBLE) / 9 AS v FROM e a, (VALUES (-1), (0), (1)) AS i(dy), (VALUES (-1), (0), (1)) AS j(dx), e b
-WHERE b.media_id = a.media_id AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7) GROUP BY a.media_id, a.y, a.x""")
-def em_box_smooth(spark, sf_dir):
-    px = clips.embedding_clips(spark, sf_dir).where("frame = 0").select("media_id", "y", "x", F.col("r").alias("v"))
-    return preview.box_smooth(px, 8, 8, 3)
+
+# previews
 
 
 @query("em_box_smooth_frames", f"""WITH e AS (SELECT media_id, frame, y, x, r FROM {EM})
@@ -473,9 +553,40 @@ def fx_upscale(spark, sf_dir):
     return preview.upscale(CLIPS["image16"].pixels(spark).select("media_id", "y", "x", "r", "g", "b"), 3)
 
 
-@query("fx_heat", f"SELECT x, {', '.join(f'CAST(floor(least(greatest(r * 3 / 255.0 - {k}, 0), 1) * 255 + 0.5) AS INT) AS {c}' for k, c in enumerate('rgb'))} FROM {fx('image16')} WHERE y = 0")
-def fx_heat(spark, sf_dir):
-    return CLIPS["image16"].pixels(spark).where("y = 0").select("x", color.heat(F.col("r").cast("double")).alias("c")).select("x", "c.r", "c.g", "c.b")
+_FIRE = ", ".join(f"CAST(floor(least(greatest(v * 3 / 255.0 - {k}, 0), 1) * 255 + 0.5) AS INT) AS {c}" for k, c in enumerate("rgb"))
+
+
+@query("em_compare_heat", f"""WITH d AS (SELECT p.media_id, p.y, p.x, greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b)) AS d FROM {EM} p JOIN {EM} q ON p.media_id = q.media_id AND p.x = q.x AND p.y = q.y WHERE p.frame = 0 AND q.frame = 1)
+SELECT media_id, y, x, {_FIRE} FROM (SELECT *, CASE WHEN most > 0 THEN floor(d * (255.0 / most) + 0.5) ELSE 0 END AS v FROM (SELECT *, max(d) OVER (PARTITION BY media_id) AS most FROM d))""")
+def em_compare_heat(spark, sf_dir):
+    return preview.compare_heat(clips.embedding_clips(spark, sf_dir), 0, 1)
+
+
+@query("em_auto_preview", f"""WITH e AS (SELECT media_id, y, x, r * 0.37e0 - 11 AS v FROM {EM} WHERE frame = 0), q AS (SELECT media_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM e GROUP BY media_id)
+SELECT media_id, y, x, CAST(CASE WHEN hi <= lo THEN 0 ELSE floor(least(greatest((v - lo) * 255.0 / (hi - lo), 0), 255) + 1e-9) END AS INT) AS v FROM e JOIN q USING (media_id)""")
+def em_auto_preview(spark, sf_dir):
+    """Of a table with a time axis only the first slice is shown: that is the operator."""
+    px = clips.embedding_clips(spark, sf_dir).select("media_id", "frame", "y", "x", (F.col("r") * 0.37 - 11).alias("v"))
+    return preview.automatic(px, ["media_id"], ["v"])
+
+
+_FIELD = f"SELECT frame, y, x, x - 31.3 + frame AS dx, y - 27.9 AS dy FROM {fx('motion')}"
+_SCALED = f"SELECT *, CAST(floor(least(sqrt(dx * dx + dy * dy) * 255.0 / most, 255) + 1e-9) AS INT) AS m, floor((degrees(atan2(dy, dx)) + 360) % 360 / 2) * 2 AS h FROM (SELECT *, max(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY frame) AS most FROM ({_FIELD}))"
+
+
+@query("fx_flow_magnitude", f"SELECT frame, y, x, {_FIRE} FROM (SELECT frame, y, x, m AS v FROM ({_SCALED}))")
+def fx_flow_magnitude(spark, sf_dir):
+    return flow.magnitude_preview(_field(spark)).select("frame", "y", "x", "r", "g", "b")
+
+
+@query("fx_flow_direction", _from_hsv_sql(f"SELECT frame, y, x, h, 1.0 AS s, m / 255.0 AS v FROM ({_SCALED})", "frame, y, x"))
+def fx_flow_direction(spark, sf_dir):
+    return flow.direction_preview(_field(spark)).select("frame", "y", "x", "r", "g", "b")
+
+
+def _field(spark):
+    """A closed-form field of vectors."""
+    return CLIPS["motion"].pixels(spark).select("media_id", "frame", "y", "x", (F.col("x") - 31.3 + F.col("frame")).alias("dx"), (F.col("y") - 27.9).alias("dy"))
 
 
 # frequency: sums of sines differ in the last place between engines
@@ -512,3 +623,70 @@ def fx_fft2(spark, sf_dir):
 @query("fx_pattern")
 def fx_pattern(spark, sf_dir):
     return frequency.regular_pattern(CLIPS["stripes8"].pixels(spark))
+
+
+# the same transforms from their definitions, to the digits that two engines share
+
+
+def dft_sql(series: str) -> str:
+    """(media_id, k, n, re, im) of series (media_id, frame, v) numbered from 0."""
+    return f"""SELECT media_id, CAST(k AS INT) AS k, n, sum(v * cos(2 * pi() * ((k * frame) % n) / n)) AS re, -sum(v * sin(2 * pi() * ((k * frame) % n) / n)) AS im
+FROM (SELECT media_id, frame, v - avg(v) OVER (PARTITION BY media_id) AS v, count(*) OVER (PARTITION BY media_id) AS n FROM ({series})), LATERAL (SELECT unnest(generate_series(0, n // 2)) AS k) GROUP BY ALL"""
+
+
+def luma_sql(px: str) -> str:
+    return f"SELECT media_id, frame, CAST(sum(299 * r + 587 * g + 114 * b) AS DOUBLE) / 1000 / count(*) AS v FROM {px} GROUP BY media_id, frame"
+
+
+@query("em_dft", f"SELECT media_id, k, n AS samples, floor(k * 30.0 / n * 1e6 + 0.317) AS frequency_e6, floor(re * 1e4 + 0.317) AS re_e4, floor(im * 1e4 + 0.317) AS im_e4 FROM ({dft_sql(luma_sql(EM))}) WHERE k > 0 AND 2 * k < n")
+def em_dft(spark, sf_dir):
+    z = frequency.temporal_fft(frequency.series(clips.embedding_clips(spark, sf_dir))).where("k > 0 AND 2 * k < samples")
+    return z.select("media_id", "k", F.col("samples").cast("bigint").alias("samples"), whole(F.col("frequency"), 6).alias("frequency_e6"), whole(F.col("re"), 4).alias("re_e4"), whole(F.col("im"), 4).alias("im_e4"))
+
+
+@query("em_dft_peaks", f"""WITH z AS (SELECT media_id, k, n, sqrt(re * re + im * im) * CASE WHEN 2 * k = n THEN 0.5 ELSE 1 END AS m FROM ({dft_sql(luma_sql(EM))}) WHERE k > 0)
+SELECT media_id, rank, floor(k * 30.0 / n * 1e6 + 0.317) AS frequency_e6, floor(n / (k * 30.0) * 1e6 + 0.317) AS period_e6, floor(m * 1e3 + 0.317) AS magnitude_e3, floor(ratio * 1e6 + 0.317) AS ratio_e6
+FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY m DESC, k) AS rank, m / sum(m) OVER (PARTITION BY media_id) AS ratio FROM z) WHERE rank <= 5""")
+def em_dft_peaks(spark, sf_dir):
+    p = frequency.temporal_peaks(frequency.series(clips.embedding_clips(spark, sf_dir)))
+    return p.select("media_id", F.col("rank").cast("bigint").alias("rank"), whole(F.col("frequency"), 6).alias("frequency_e6"), whole(F.col("period_seconds"), 6).alias("period_e6"), whole(F.col("magnitude"), 3).alias("magnitude_e3"), whole(F.col("peak_ratio"), 6).alias("ratio_e6"))
+
+
+@query("fx_stft_hann", f"""SELECT media_id, CAST(i AS INT) AS "window", CAST(k AS INT) AS k, floor((i * 4 + 3.5) / 30 * 1e6 + 0.317) AS t_e6, floor(k * 30.0 / 8 * 1e6 + 0.317) AS frequency_e6,
+floor(sqrt(pow(sum(v * w * cos(2 * pi() * k * j / 8)), 2) + pow(sum(v * w * sin(2 * pi() * k * j / 8)), 2)) * 1e4 + 0.317) AS magnitude_e4
+FROM (SELECT media_id, i, j, v, 0.5 - 0.5 * cos(2 * pi() * j / 7) AS w FROM ({luma_sql(fx('noise'))}), range(9) AS a(i), range(8) AS c(j) WHERE frame = i * 4 + j), range(5) AS d(k) GROUP BY media_id, i, k""")
+def fx_stft_hann(spark, sf_dir):
+    z = frequency.stft(frequency.series(CLIPS["noise"].pixels(spark)), "hann", 8, 4)
+    return z.select("media_id", "window", "k", whole(F.col("t"), 6).alias("t_e6"), whole(F.col("frequency"), 6).alias("frequency_e6"), whole(F.hypot("re", "im"), 4).alias("magnitude_e4"))
+
+
+_STFT_LOG = f"""SELECT media_id, i, k, ln(1 + sqrt(pow(sum(v * w * cos(2 * pi() * k * j / 8)), 2) + pow(sum(v * w * sin(2 * pi() * k * j / 8)), 2))) AS m
+FROM (SELECT media_id, i, j, v, 0.5 - 0.5 * cos(2 * pi() * j / 7) AS w FROM ({luma_sql(fx('noise'))}), range(9) AS a(i), range(8) AS c(j) WHERE frame = i * 4 + j), range(5) AS d(k) GROUP BY media_id, i, k"""
+
+
+@query("fx_stft_preview", f"SELECT media_id, CAST(k AS INT) AS y, CAST(i AS INT) AS x, CAST(floor(m * 255.0 / max(m) OVER (PARTITION BY media_id) + 1e-9) AS INT) AS v FROM ({_STFT_LOG})")
+def fx_stft_preview(spark, sf_dir):
+    z = frequency.stft(frequency.series(CLIPS["noise"].pixels(spark)), "hann", 8, 4)
+    return frequency.log_preview(z, ["media_id"], "k", "window")
+
+
+def dft2_sql(px: str, n: int) -> str:
+    """(v, u, re, im) of one n x n picture's luma without its mean, along x and then along y."""
+    turn = lambda a, b: f"2 * pi() * ((({a}) * ({b})) % {n}) / {n}"
+    return f"""SELECT v, u, sum(re * cos({turn('v', 'y')}) + im * sin({turn('v', 'y')})) AS re, sum(im * cos({turn('v', 'y')}) - re * sin({turn('v', 'y')})) AS im
+FROM (SELECT y, u, sum(g * cos({turn('u', 'x')})) AS re, -sum(g * sin({turn('u', 'x')})) AS im
+  FROM (SELECT y, x, g - avg(g) OVER () AS g FROM (SELECT y, x, (299 * r + 587 * g + 114 * b) / 1000.0 AS g FROM {px})), range(-{n // 2}, {n // 2}) AS a(u) GROUP BY y, u), range(-{n // 2}, {n // 2}) AS c(v) GROUP BY v, u"""
+
+
+@query("fx_fft2_peaks", f"""WITH z AS (SELECT u, v, sqrt(re * re + im * im) AS m FROM ({dft2_sql(fx('image16'), 16)}) WHERE NOT (abs(u) <= 2 AND abs(v) <= 2) AND (v < 0 AND v > -8 OR v IN (0, -8) AND (u >= 0 OR u = -8)))
+SELECT CAST(rank AS BIGINT) AS rank, CAST(u AS INT) AS u, CAST(v AS INT) AS v, floor(16 / sqrt(u * u + v * v) * 1e6 + 0.317) AS period_e6, floor(m * 1e2 + 0.317) AS magnitude_e2
+FROM (SELECT *, row_number() OVER (ORDER BY m DESC, v, u) AS rank FROM z WHERE m >= (SELECT max(m) FROM z) * 1e-6) WHERE rank <= 5""")
+def fx_fft2_peaks(spark, sf_dir):
+    p = frequency.spatial_peaks(frequency.spatial_fft(CLIPS["image16"].pixels(spark)))
+    return p.select(F.col("rank").cast("bigint").alias("rank"), "u", "v", whole(F.col("period_px"), 6).alias("period_e6"), whole(F.col("magnitude"), 2).alias("magnitude_e2"))
+
+
+@query("fx_fft2_preview", f"SELECT CAST(v + 8 AS INT) AS y, CAST(u + 8 AS INT) AS x, CAST(floor(m * 255.0 / max(m) OVER () + 1e-6) AS INT) AS v FROM (SELECT u, v, ln(1 + sqrt(re * re + im * im)) AS m FROM ({dft2_sql(fx('image16'), 16)}))")
+def fx_fft2_preview(spark, sf_dir):
+    z = frequency.spatial_fft(CLIPS["image16"].pixels(spark)).withColumn("y", F.col("v") + 8).withColumn("x", F.col("u") + 8)
+    return frequency.log_preview(z, ["media_id", "frame"], "y", "x").select("y", "x", "v")

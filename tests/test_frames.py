@@ -185,17 +185,26 @@ def test_preview(spark):
 
 
 def test_queries_of_whole_clips(spark):
-    """A registered query covers every vector, or every frame, where em_box_smooth and fx_hsv take the first."""
+    """Smoothing covers every vector and HSV every frame, as plain loops do."""
+    import colorsys
+
     from framewell.queries import QUERIES
+    from framewell.sources.clips import embedding_clips
 
     sf = "/root/testdata/sf0.001"
-    out = QUERIES["em_box_smooth_frames"](spark, sf)
-    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
-    assert out.count() == 64 * n and out.select("media_id", "frame").distinct().count() == n
-    first, old = (sorted(map(tuple, d.select("media_id", "y", "x", "v").collect())) for d in (out.where("frame = 0"), QUERIES["em_box_smooth"](spark, sf)))
-    assert first == old
-    whole = QUERIES["fx_hsv_clip"](spark, sf)
-    assert whole.count() == 40 * 64 * 64 and whole.where("frame < 3").exceptAll(QUERIES["fx_hsv"](spark, sf)).count() == 0
+    grids = {}
+    for r in embedding_clips(spark, sf).collect():
+        grids.setdefault((r["media_id"], r["frame"]), np.zeros((8, 8)))[r["y"], r["x"]] = r["r"]
+    assert len(grids) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    wide = {k: np.pad(g, 1, mode="edge") for k, g in grids.items()}
+    out = QUERIES["em_box_smooth_frames"](spark, sf).collect()
+    assert len(out) == 64 * len(grids)
+    assert all(r["v"] == pytest.approx(wide[r["media_id"], r["frame"]][r["y"] : r["y"] + 3, r["x"] : r["x"] + 3].mean()) for r in out)
+    got = {(r["frame"], r["y"], r["x"]): (r["h_e6"] / 1e6, r["s_e6"] / 1e6, r["v_e6"] / 1e6) for r in QUERIES["fx_hsv_clip"](spark, sf).collect()}
+    assert len(got) == 40 * 64 * 64
+    for r in px(spark, "noise").where("x = y").collect():
+        h, s, v = colorsys.rgb_to_hsv(r["r"] / 255, r["g"] / 255, r["b"] / 255)
+        assert got[r["frame"], r["y"], r["x"]] == pytest.approx((h * 360, s * 100, v * 100), abs=1e-5)
 
 
 def test_flow(spark):
