@@ -42,8 +42,10 @@ HEADER = struct.Struct("<5sBBBQQQQq6Q")
 NO_IDS = 1
 #: Characters of text in a block, unless one document is longer.
 BLOCK_CHARS = 4_000_000
+#: Documents that are split and looked up at a time, so that their words stay in the cache.
+SLICE = 64
 #: Distinct words after which a worker's memo starts anew; the one before it is kept for words that come again.
-MEMO = 1_000_000
+MEMO = 600_000
 
 
 class EliasFano:
@@ -256,6 +258,18 @@ def splits_at_spaces(tok) -> bool:
 _encoders: dict[tuple[int, int], WordEncoder] = {}
 
 
+def encoder_of(raw: bytes, width: int) -> WordEncoder:
+    """The worker's encoder of a file, kept from task to task.
+
+    A step must reach it by this function: globals that a nested function names itself are
+    sent with it, so that every task would get an empty dictionary of its own.
+    """
+    key = (zlib.crc32(raw), width)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(raw, width)
+    return _encoders[key]
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` and write their blocks under ``path`` in ascending id order."""
     from tokenizers import Tokenizer
@@ -266,10 +280,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     sent = spark.sparkContext.broadcast(raw)
 
     def step(batches):
-        key = (zlib.crc32(sent.value), width)
-        if key not in _encoders:
-            _encoders[key] = WordEncoder(sent.value, width)
-        enc, part, block, before = _encoders[key], TaskContext.get().partitionId(), 0, 0
+        enc, part, block, before = encoder_of(sent.value, width), TaskContext.get().partitionId(), 0, 0
         stop = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             none = batch.column(0).null_count  # they come first
@@ -281,7 +292,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
                 while j < end and (j == i or n + len(texts[j]) <= BLOCK_CHARS):
                     n += len(texts[j])
                     j += 1
-                got = enc.encode(texts[i:j])
+                got = [x for k in range(i, j, SLICE) for x in enc.encode(texts[k : min(k + SLICE, j)])]
                 counts = np.fromiter(map(len, got), np.int64, j - i) // width + 1
                 data = pack(None if i < none else ids[i:j], counts, stop.join(got) + stop, width, before)
                 total = int(counts.sum())

@@ -490,6 +490,22 @@ def test_words_encode_as_the_library_does(monkeypatch):
     assert [again.encode([t])[0] for t in texts[:500]] == want[:500]
 
 
+def test_a_worker_keeps_its_encoder(spark, docs, tmp_path):
+    """What a task has learned is there for the next one in its worker."""
+    from framewell.llm import tokenfile
+
+    tokenfile.write(docs, str(tmp_path / "k"), P.path("word_bpe_49k.json"), 2)
+
+    def step(batches):
+        import pyarrow as pa
+        from framewell.llm import tokenfile as t
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.memo) for e in t._encoders.values())], pa.int64())], ["n"])
+
+    assert max(r["n"] for r in spark.range(0, 4, 1, 4).mapInArrow(step, "n long").collect()) > 0
+
+
 def test_blocks_of_any_ids():
     """The least and the greatest id of all, repeated ids, and none."""
     from framewell.llm import tokenfile as t
