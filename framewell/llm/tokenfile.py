@@ -45,7 +45,7 @@ BLOCK_CHARS = 4_000_000
 #: Documents that are split and looked up at a time, so that their words stay in the cache.
 SLICE = 64
 #: Distinct words after which a worker's memo starts anew; the one before it is kept for words that come again.
-MEMO = 600_000
+MEMO = 1_000_000
 
 
 class EliasFano:
@@ -147,7 +147,7 @@ class WordEncoder:
 
     ODD = "\x1c\x1d\x1e\x1f"
     #: Marks that end a word and that the library encodes by themselves.
-    MARKS = ",.;:!?"
+    MARKS = string.punctuation
     #: Words in one text; what ends the last id of a piece.
     JOINED, LAST = 400, "</w>"
 
@@ -233,15 +233,16 @@ class WordEncoder:
         found, new, get = [], set(), self.memo.get
         for s in split:
             got = list(map(get, s)) if s else []
-            if None in got:
-                new.update([w for w, x in zip(s, got, strict=True) if x is None])
-            found.append(got)
+            holes = [i for i, x in enumerate(got) if x is None]
+            if holes:
+                new.update(map(s.__getitem__, holes))
+            found.append((got, holes))
         if new:
             self._learn(new)
         memo, out = self.memo, []
-        for t, s, got in zip(texts, split, found, strict=True):
-            if None in got:
-                got = [memo[w] if x is None else x for w, x in zip(s, got, strict=True)]
+        for t, s, (got, holes) in zip(texts, split, found, strict=True):
+            for i in holes:
+                got[i] = memo[s[i]]
             out.append(self.whole([t])[0] if s is None else b"".join(got))
         return out
 

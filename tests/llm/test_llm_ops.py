@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -479,7 +480,7 @@ def test_words_encode_as_the_library_does(monkeypatch):
     raw = open(P.path("word_bpe_49k.json"), "rb").read()
     enc, rnd = tokenfile.WordEncoder(raw, 2), random.Random(11)
     odd = "İ\u095c\u09dc\ufb1d\u0307\u0301\u0345ßΣσςǅΩⓐªº²①٣日本\uac00\u1100\u1161\u11a8\U00031350\U00010d4a\u2126\u212a\u00b5_'’-…#<|>\U0001f600"
-    pick = lambda: rnd.choice([odd, "abcXYZ", ",.;:!?", " \n\x85\u2003\x1c", "'s't", "<|endoftext|>" if rnd.random() < 0.05 else "e"])
+    pick = lambda: rnd.choice([odd, "abcXYZ", ",.;:!?", string.punctuation, " \n\x85\u2003\x1c", "'s't", "<|endoftext|>" if rnd.random() < 0.05 else "e"])
     texts = ["".join(rnd.choice(pick()) for _ in range(rnd.randrange(1, 30))) for _ in range(4000)] + ["GAZİ, İ.İ. x<|endoftext|>, <|startoftext|>.", ""]
     want = [np.array(e.ids, enc.kind).tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
     assert enc.by_word and enc.by_mark
