@@ -33,6 +33,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import trimmed, written
 
 HEAD, END = "### ", "</turn>\n"
+#: Joins of the walk in one plan.
+_CUT = 4
 #: The escapes: a code after a backslash and what it stands for.
 _CODE, _RAW = re.compile(r"\\([\\hlc])"), {"\\": "\\", "h": "#", "l": "<", "c": ":"}
 
@@ -66,39 +68,43 @@ def steps(messages: DataFrame, tree: str = "tree_id", node: str = "message_id",
     A branch is named by its leaf; its score is the mean score of its messages (null counts
     as 0), ties going to the smaller leaf.
     """
-    m = messages.where(F.col(node).isNotNull()).groupBy(F.struct(F.col(tree).alias("k")).alias("t"), F.col(node).alias("n")).agg(_node(parent, score).alias("x")).select("t", "n", "x.p", "x.s")
-    ids = m.select("t", F.col("n").alias("p"), F.lit(True).alias("known"))
-    m = m.join(ids, ["t", "p"], "left").select("t", "n", F.when(F.col("known"), F.col("p")).alias("up"), F.lit(1).cast("long").alias("size"), "s")
-    # size, s: of the messages from n up to, but without, its ancestor up
-    state = written(m, "ancestors")
-    parents = state.where(F.col("up").isNotNull()).select("t", F.col("up").alias("n")).distinct()
+    m = messages.where(F.col(node).isNotNull()).groupBy(F.struct(F.col(tree).alias("k")).alias("t"), F.col(node).alias("n")).agg(_node(parent, score).alias("x"))
+    # size, s: of the messages from n up to, but without, up, which may be absent until it is looked up
+    state = written(m.select("t", "n", F.col("x.p").alias("up"), F.lit(1).cast("long").alias("size"), F.col("x.s").alias("s")), "ancestors", release=True)
     done, jumps, open_before = [], [], None
     while True:
-        left = state.where(F.col("up").isNotNull()).count()
+        left, rows = state.agg(F.count("up"), F.count(F.lit(1))).first()
         if not left or left == open_before:  # done, or only cycles are left
             break
         open_before = left
-        # trees whose messages all reach a root leave the loop
-        trees = state.where(F.col("up").isNotNull()).select("t").distinct()
-        done.append(written(state.join(trees, "t", "left_anti"), "ancestors"))
-        jumps.append(state.where(F.col("up").isNotNull()).select("t", "n", "up"))  # 2 ** len(jumps) turns up
-        state = state.join(trees, "t", "left_semi")
-        step = state.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("size").alias("size2"), F.col("s").alias("s2"))
-        longer = state.where(F.col("up").isNotNull()).join(step, ["t", "up"])
-        longer = longer.select("t", "n", F.col("up2").alias("up"), (F.col("size") + F.col("size2")).alias("size"), (F.col("s") + F.col("s2")).alias("s"))
-        state = written(state.where(F.col("up").isNull()).unionByName(longer), "ancestors")
+        if 4 * left <= rows:  # trees whose messages all reach a root leave the loop
+            trees = state.where(F.col("up").isNotNull()).select("t", F.lit(True).alias("open")).distinct()
+            marked = written(state.join(trees, "t", "left"), "ancestors")
+            done.append(marked.where(F.col("open").isNull()).select("t", "n", "up", "size", "s"))
+            state = marked.where("open").select("t", "n", "up", "size", "s")
+        # merged, here and below: each broadcast is held in the driver, for a thread and a copy of the rows
+        step = state.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("size").alias("size2"), F.col("s").alias("s2")).hint("merge")
+        longer = state.where(F.col("up").isNotNull()).join(step, ["t", "up"], "left")
+        longer = longer.select("t", "n", F.col("up2").alias("up"), F.coalesce(F.col("size") + F.col("size2"), "size").alias("size"), F.coalesce(F.col("s") + F.col("s2"), "s").alias("s"), F.when(F.col("size2").isNotNull(), F.col("up")).alias("via"))
+        kept = state.where(F.col("up").isNull()).withColumn("via", F.col("up"))
+        both = written(kept.unionByName(longer), "ancestors", release=True)
+        jumps.append(both.where(F.col("via").isNotNull()).select("t", "n", F.col("via").alias("up")))  # 2 ** (len(jumps) - 1) turns up
+        state = both.select("t", "n", "up", "size", "s")
     for part in done:
         state = state.unionByName(part)
-    rooted = state.where(F.col("up").isNull())
-    leaves = rooted.join(parents, ["t", "n"], "left_anti").withColumn("branch_score", F.col("s") / F.col("size"))
+    leaves = state.where(F.col("up").isNull()).withColumn("branch_score", F.col("s") / F.col("size"))
+    if jumps:
+        parents = jumps[0].select("t", F.col("up").alias("n")).distinct()
+        leaves = leaves.join(parents.hint("merge"), ["t", "n"], "left_anti")
     w = Window.partitionBy("t").orderBy(F.desc("branch_score"), "n")
     ranked = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
-    walk = written(ranked.select("t", F.col("n").alias("branch"), "rank", "branch_score", (F.col("size") - 1).alias("turn"), "n"), "branches")
+    walk = written(ranked.select("t", F.col("n").alias("branch"), "rank", "branch_score", (F.col("size") - 1).alias("turn"), "n"), "branches", release=True)
     for k, jump in reversed(list(enumerate(jumps))):
         # every distance below 2 ** (k + 1) is written once as a sum of powers of two
         both = F.array(F.struct("n", "turn"), F.struct(F.col("up").alias("n"), (F.col("turn") - (1 << k)).alias("turn")))
-        # merged: a plan of many broadcasts would hold all of them in the driver at once
         walk = walk.join(jump.hint("merge"), ["t", "n"], "left").select("t", "branch", "rank", "branch_score", F.explode(F.filter(both, lambda x: x["n"].isNotNull())).alias("x")).select("t", "branch", "rank", "branch_score", "x.turn", "x.n")
+        if k and k % _CUT == 0:  # no plan grows with the depth
+            walk = written(walk, "branches", release=True)
     return walk.select(F.col("t.k").alias(tree), "branch", "rank", "branch_score", "turn", F.col("n").alias(node))
 
 

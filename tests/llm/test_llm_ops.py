@@ -123,6 +123,38 @@ def test_chat_long_thread(spark):
     assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == (n, sha(said), len(loss), sha(loss))
 
 
+def test_chat_plans_stay_small(spark):
+    """Neither the depth of a thread nor the number of trees makes broadcasts or a plan that grows, which the driver would hold."""
+    from framewell.llm import chat
+
+    c = spark.range(700).select(chat.F.when(chat.F.col("id") < 600, 0).otherwise(chat.F.col("id") % 20).alias("conv_id"), chat.F.col("id").alias("turn"), chat.F.lit("user").alias("role"), chat.F.col("id").cast("string").alias("text"))
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        bus.waitUntilEmpty(30_000)
+        runs = store.executionsList()
+        graphs = {x.executionId(): store.planGraph(x.executionId()).allNodes() for x in map(runs.apply, range(runs.size()))}
+        return {k: Counter(g.apply(i).name() for i in range(g.size())) for k, g in graphs.items()}
+
+    before = plans()
+    rows = chat.steps(chat.as_trees(c)).groupBy("tree_id").count().collect()
+    assert {r["tree_id"]: r["count"] for r in rows} == {0: 605} | {i: 5 for i in range(1, 20)}
+    new = [p for k, p in plans().items() if k not in before]
+    assert sum(p["BroadcastExchange"] for p in new) <= 6  # of trees that leave the loop
+    assert max(p["Exchange"] + p["BroadcastExchange"] for p in new) <= 12
+
+
+def test_chat_parents_that_are_absent(spark):
+    """A parent that no message has ends a path as a null one does, at every depth; what hangs on a cycle has none."""
+    from framewell.llm import chat
+
+    rows = [(t, i, i - 1 if i > 1 else first, "user", str(i), 1.0) for t, first, n in [("a", None, 9), ("b", 0, 9), ("c", 99, 8), ("d", 5, 6), ("e", 0, 1)] for i in range(1, n + 1)]
+    rows += [(None, 1, 0, "user", "x", 0.5), (None, 2, 1, "user", "y", None), ("f", 1, 1, "user", "self", 1.0), ("g", None, None, "user", "no id", 1.0)]
+    m = spark.createDataFrame(rows, "tree_id string, message_id long, parent_id long, role string, text string, score double")
+    got = {r["tree_id"]: (r["path"], r["branch_score"]) for r in chat.paths(m, keep=3).collect()}
+    assert got == {"a": ([*range(1, 10)], 1.0), "b": ([*range(1, 10)], 1.0), "c": ([*range(1, 9)], 1.0), "e": ([1], 1.0), None: ([1, 2], 0.25)}
+
+
 def test_chat_digests_of_repeated_turns(spark):
     from framewell.llm import chat
 
