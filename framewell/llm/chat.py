@@ -87,7 +87,7 @@ def steps(messages: DataFrame, tree: str = "tree_id", node: str = "message_id",
         longer = state.where(F.col("up").isNotNull()).join(step, ["t", "up"], "left")
         longer = longer.select("t", "n", F.col("up2").alias("up"), F.coalesce(F.col("size") + F.col("size2"), "size").alias("size"), F.coalesce(F.col("s") + F.col("s2"), "s").alias("s"), F.when(F.col("size2").isNotNull(), F.col("up")).alias("via"))
         kept = state.where(F.col("up").isNull()).withColumn("via", F.col("up"))
-        both = written(kept.unionByName(longer), "ancestors", release=True)
+        both = written(kept.unionByName(longer), "ancestors")
         jumps.append(both.where(F.col("via").isNotNull()).select("t", "n", F.col("via").alias("up")))  # 2 ** (len(jumps) - 1) turns up
         state = both.select("t", "n", "up", "size", "s")
     for part in done:
@@ -104,7 +104,7 @@ def steps(messages: DataFrame, tree: str = "tree_id", node: str = "message_id",
         both = F.array(F.struct("n", "turn"), F.struct(F.col("up").alias("n"), (F.col("turn") - (1 << k)).alias("turn")))
         walk = walk.join(jump.hint("merge"), ["t", "n"], "left").select("t", "branch", "rank", "branch_score", F.explode(F.filter(both, lambda x: x["n"].isNotNull())).alias("x")).select("t", "branch", "rank", "branch_score", "x.turn", "x.n")
         if k and k % _CUT == 0:  # no plan grows with the depth
-            walk = written(walk, "branches", release=True)
+            walk = written(walk, "branches")
     return walk.select(F.col("t.k").alias(tree), "branch", "rank", "branch_score", "turn", F.col("n").alias(node))
 
 
