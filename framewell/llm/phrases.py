@@ -3,11 +3,11 @@
 Windows of ``length`` words can recur only where their seeds do (``windows``). The
 stretches around repeated seeds are dealt to shards by seed, each distinct stretch once
 with the number of its copies. A shard works through its seeds in batches: it confirms
-the recurring windows (whole word sequences, counted with copies), compiles them into an
-Aho-Corasick automaton in which each word is one symbol, and streams all stretches
-through it, which locates every occurrence. What it finds applies to all copies of a
-stretch. Where a seed has very many different stretches, their windows are counted before
-the shuffle and dealt out one by one.
+the recurring windows (whole word sequences, counted with copies), compiles the phrases
+they form (each stretch's runs of such windows) into an Aho-Corasick automaton in which each
+word is one symbol, and streams all stretches through it, which locates every occurrence.
+What it finds applies to all copies of a stretch. Where a seed has very many different
+stretches, their windows are counted before the shuffle and dealt out one by one.
 
 Defined results: a word is a maximal run without ASCII white space; null texts have no
 words; windows never cross documents; different texts of one doc_id are documents of their own,
@@ -64,21 +64,28 @@ def locate(segments: list[tuple[list[str], int]], length: int) -> list[list[tupl
             w = text[i : i + length]
             counts[w] = counts.get(w, 0) + copies
     automaton = ahocorasick.Automaton()
-    for k, (w, n) in enumerate(counts.items()):
-        if n > 1:
-            automaton.add_word(w, k)
+    for text in texts:
+        # a stretch's run of recurring windows is one phrase: fewer nodes than its windows one by one
+        at, ends = 0, len(text) - length + 1
+        while at < ends:
+            to = at
+            while to < ends and counts[text[to : to + length]] > 1:
+                to += 1
+            if to > at:
+                automaton.add_word(text[at : to + length - 1], to - at)
+            at = to + 1
     if not len(automaton):
         return [[] for _ in segments]
     automaton.make_automaton()
     found = []
     for text in texts:
         runs: list[list[int]] = []
-        for end, _ in automaton.iter(text):
-            at = end - length + 1
-            if runs and runs[-1][1] == at:
-                runs[-1][1] = at + 1
-            else:
-                runs.append([at, at + 1])
+        for end, n in automaton.iter(text):
+            last = end - length + 2
+            first = last - n
+            while runs and runs[-1][1] >= first:
+                first = min(first, runs.pop()[0])
+            runs.append([first, last])
         found.append([tuple(r) for r in runs])
     return found
 

@@ -417,6 +417,56 @@ def test_phrase_dedup(docs, empty, many, batch, monkeypatch):
     assert phrases.digests(empty).count() == 0
 
 
+def brute_runs(segments, length):
+    windows = [[tuple(w[i : i + length]) for i in range(len(w) - length + 1)] for w, _ in segments]
+    copies = Counter()
+    for ws, (_, n) in zip(windows, segments, strict=True):
+        for w in ws:
+            copies[w] += n
+    out = []
+    for ws in windows:
+        again = [False, *(copies[w] > 1 for w in ws), False]
+        edges = [i for i in range(len(ws) + 1) if again[i] != again[i + 1]]
+        out.append(list(zip(edges[::2], edges[1::2], strict=True)))
+    return out
+
+
+def test_phrase_automaton_takes_runs_of_windows(monkeypatch):
+    """The automaton gets each run of recurring windows once, not a phrase a window, and finds the same."""
+    import ahocorasick
+
+    from framewell.llm import phrases
+
+    added, make = [], ahocorasick.Automaton
+
+    class Recorder:
+        def __init__(self):
+            self.own = make()
+
+        def __len__(self):
+            return len(self.own)
+
+        def add_word(self, word, value):
+            added.append(word)
+            return self.own.add_word(word, value)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(ahocorasick, "Automaton", Recorder)
+    rng = np.random.default_rng(6)
+    for k in range(600):
+        length = int(rng.integers(1, 7))
+        sizes = rng.integers(0, 30, rng.integers(1, 12))
+        segments = [([f"w{x}" for x in rng.integers(0, 1 + k % 5, n)], int(rng.integers(1, 4)) if k % 3 == 0 else 1) for n in sizes]
+        assert phrases.locate(segments, length) == brute_runs(segments, length)
+    base = [f"b{i}" for i in range(58)]
+    segments = [(base, 2), ([*base[:50], "x"], 1), (["y", *base[10:46], "z"], 1), ([f"c{i}" for i in range(58)], 1)]
+    added.clear()
+    assert phrases.locate(segments, 35) == brute_runs(segments, 35) == [[(0, 24)], [(0, 16)], [(1, 3)], []]
+    assert sorted(map(len, added)) == [36, 50, 58]
+
+
 def brute_jaccard(rows):
     sets = {}
     for r in rows:
